@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> (module, function).
 QUERIES = {
+    "op1_quality": "op1_quality",
     "op5_language_id": "op5_language",
 }
 
