@@ -12,6 +12,7 @@ QUERIES = {
     "op1_quality": "op1_quality",
     "op2_packing": "op2_packing",
     "op5_language_id": "op5_language",
+    "op6_toxicity": "op6_toxicity",
 }
 
 
