@@ -13,6 +13,7 @@ QUERIES = {
     "op2_packing": "op2_packing",
     "op5_language_id": "op5_language",
     "op6_toxicity": "op6_toxicity",
+    "op8_piece_sampling": "op8_sampling",
 }
 
 
