@@ -14,6 +14,7 @@ QUERIES = {
     "op5_language_id": "op5_language",
     "op6_toxicity": "op6_toxicity",
     "op8_piece_sampling": "op8_sampling",
+    "op9_fingerprint": "op9_fingerprint",
 }
 
 
