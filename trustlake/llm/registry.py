@@ -15,6 +15,7 @@ QUERIES = {
     "op6_toxicity": "op6_toxicity",
     "op8_piece_sampling": "op8_sampling",
     "op9_fingerprint": "op9_fingerprint",
+    "op10_topk": "op10_topk",
 }
 
 
