@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> (module, function).
 QUERIES = {
+    "op4_jaccard": "op4_jaccard",
     "op1_quality": "op1_quality",
     "op2_packing": "op2_packing",
     "op5_language_id": "op5_language",
