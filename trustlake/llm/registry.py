@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> (module, function).
 QUERIES = {
+    "op3_language_model": "op3_language_model",
     "op7_suffix": "op7_suffix",
     "op4_jaccard": "op4_jaccard",
     "op1_quality": "op1_quality",
