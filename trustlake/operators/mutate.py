@@ -67,8 +67,8 @@ def set_value(column: str, value: Any, index: int = 0) -> Mutation:
     return _nth(f"set {column}", column, index, lambda c: F.lit(value), non_null=False)
 
 
-def set_where(column: str, value: Any, where: Column, label: str = "") -> Mutation:
-    return Mutation(label or f"set {column} where", lambda df: df.withColumn(column, F.when(where, F.lit(value).cast(df.schema[column].dataType)).otherwise(F.col(column))))
+def set_where(column: str, value: Any, where: Column | str, label: str = "") -> Mutation:
+    return Mutation(label or f"set {column} where", lambda df: df.withColumn(column, F.when(F.expr(where) if isinstance(where, str) else where, F.lit(value).cast(df.schema[column].dataType)).otherwise(F.col(column))))
 
 
 def add_leading_plus(column: str) -> Mutation:
