@@ -97,7 +97,8 @@ class Vocabulary:
         s, n, p = np.concatenate(starts), np.concatenate(lens), np.concatenate(ids)
         start = s + unit[s]
         step = start + n - first[unit[s]]
-        order = np.argsort(step * np.int64(len(codes) + len(units)) + start + n)
+        # Ties by length: sums are then added in one order, whatever else is in the batch.
+        order = np.argsort((step * np.int64(len(codes) + len(units)) + start + n) * 32 + n)
         return Edges(start[order], (start + n)[order], p[order], step[order], first, first + lengths, len(codes) + len(units))
 
     def weights(self, piece: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -133,5 +134,5 @@ def backward(e: Edges, w: np.ndarray) -> np.ndarray:
     """Sum over all segmentations from each node to the end of its unit."""
     unit = np.searchsorted(e.first, e.start, side="right") - 1
     left = e.start - e.first[unit]
-    order = np.argsort(e.start - left * np.int64(e.nodes))
+    order = np.argsort((e.start - left * np.int64(e.nodes)) * 32 + (e.end - e.start))
     return _sweep(e.nodes, e.last, e.end[order], e.start[order], left[order], w[order])

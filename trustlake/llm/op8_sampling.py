@@ -72,7 +72,7 @@ class Sampler:
     def reset(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.last = np.zeros(0, np.int64)
-        self.key, self.source, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.key, self.source, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.is_first = np.zeros(0, bool)
 
     def learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
@@ -83,16 +83,16 @@ class Sampler:
             e = self.v.edges(units)
             w = self.v.weights(e.piece, self.w) * SCALE ** (e.end - e.start)[:, None]
             a = forward(e, w)[:, 0]
-            order = np.argsort(e.end, kind="stable")
+            order = np.argsort(e.end * 32 + (e.end - e.start))
             end, mass = e.end[order], a[e.start[order]] * w[order, 0]
             heads = np.flatnonzero(np.diff(end, prepend=-1))
-            total = np.cumsum(mass)
-            before = (total - mass)[heads]
             size = np.diff(np.append(heads, len(end)))
-            share = (total - np.repeat(before, size)) / np.repeat(np.add.reduceat(mass, heads) if len(heads) else before, size)
-            share = np.minimum(share, 1.0)
-            share[np.append(heads[1:], len(end)) - 1] = 1.0
-            keys.append(base + end + share)
+            # Shares in whole 2^-32, so a draw never depends on what else is in the batch; a node's last edge takes the rest.
+            part = np.floor(mass / np.repeat(np.add.reduceat(mass, heads), size) * 2.0**32).astype(np.int64)
+            total = np.cumsum(part)
+            share = np.minimum(total - np.repeat(total[heads] - part[heads], size), 1 << 32)
+            share[np.append(heads[1:], len(end)) - 1] = 1 << 32
+            keys.append(((base + end) << 32) + share)
             sources.append((base + e.start[order]).astype(np.int32))
             pieces.append(e.piece[order].astype(np.int32))
             first = np.zeros(e.nodes, bool)
@@ -147,7 +147,7 @@ class Sampler:
         live, count, steps = np.arange(len(at)), np.zeros(len(at), np.int64), []
         while len(live):
             counter = splitmix(counter)
-            k = np.searchsorted(self.key, node + (counter >> np.uint64(11)) * 2.0**-53, side="right")
+            k = np.searchsorted(self.key, (node << 32) + (counter >> np.uint64(32)).astype(np.int64), side="right")
             steps.append((live, self.piece[k]))
             count[live] += 1
             node = self.source[k].astype(np.int64)
