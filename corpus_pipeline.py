@@ -8,6 +8,8 @@ returns the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,25 @@ LANGUAGE_SCORE = 0.5
 _TMP = "__tl_stage"
 
 
+_HELPERS: list[str] = []
+
+
+def _stage(function):
+    """A stage. When it begins, the stage before has been written, so that one's helper tables go."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(docs, _HELPERS)
+        common.NOTED.append(_HELPERS)
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            common.NOTED.remove(_HELPERS)
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in a language that the model is sure of."""
     model = op5_language.fit(docs.where(common.fold("doc_id", 5) != 0), op5_language.default_path(), 1)
@@ -26,12 +47,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(f"{_TMP}.lang_pred") != "und") & (F.col(f"{_TMP}.score") >= LANGUAGE_SCORE)).drop(_TMP)
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be of good quality."""
     model = op1_quality.fit(docs, common.table(spark, sf_dir, "labels"))
     return docs.withColumn(_TMP, op1_quality.scorer(model)(F.col("text").cast("string"))).where(F.col(_TMP) >= op1_quality.THRESHOLD).drop(_TMP)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id (of rows that share it: the least text)."""
     groups = op4_jaccard.join(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
@@ -44,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that a smaller document has. Characters cut in two go with them; emptied texts stay as rows."""
     names = [f"{_TMP}{i}" for i in range(len(docs.columns))]
@@ -64,6 +88,7 @@ def _decoded(column: str) -> Column:
     return decode(F.col(column))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
     return op2_packing.pack(docs, ids=False)

@@ -37,6 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: While a list stands here, stash() notes its folders in it (see ``release``).
+NOTED: list[list[str]] = []
+
+
+def release(docs: DataFrame, folders: list[str]) -> None:
+    """Delete noted folders that ``docs`` does not read: what was made from them has been written."""
+    spark = docs.sparkSession
+    read = docs.inputFiles() if folders else []
+    for folder in folders:
+        if not any(folder.rpartition("/")[2] in f for f in read):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders.clear()
+
+
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -45,6 +60,8 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for noted in NOTED:
+        noted.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
