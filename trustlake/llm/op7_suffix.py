@@ -112,9 +112,6 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _round_one(buckets: int):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pass
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         block: int | None = None
@@ -154,9 +151,13 @@ def _answer_one(key: tuple, group: pa.Table) -> pa.Table:
     """One bucket of round one: for each block, a bit for each of its ranks."""
     group = group.sort_by("block")
     ranks = [_low48(x) for x in group["ranks"].to_pylist()]
-    u, n = np.unique(np.concatenate(ranks), return_counts=True)
-    twice = u[n > 1]
-    bits = [np.packbits(np.isin(x, twice)).tobytes() for x in ranks]
+    # One sort for all blocks: equal ranks stand side by side.
+    every = np.concatenate(ranks)
+    by = np.argsort(every)
+    same = every[by][1:] == every[by][:-1]
+    twice = np.zeros(len(every), bool)
+    twice[by[1:][same]] = twice[by[:-1][same]] = True
+    bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(r) for r in ranks])[:-1])]
     return pa.table({"block": group["block"], "kind": pa.array([1] * len(bits), pa.int32()), "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
@@ -216,10 +217,8 @@ def _answer_two(key: tuple, group: pa.Table) -> pa.Table:
     around = get("around", np.uint8).reshape(-1, AROUND)
     bits = np.zeros(len(rank), np.int32)
     _, same, many = np.unique(rank, return_inverse=True, return_counts=True)
-    for begin in range(0, 1):
-        live = np.flatnonzero(many[same] > 1)
-        if not len(live):
-            break
+    live = np.flatnonzero(many[same] > 1)
+    if len(live):
         prefix = np.zeros((len(live), AROUND + 1), np.uint64)
         np.cumsum(tokens._VALUES[around[live]] * tokens.powers(AROUND + 1)[0][:AROUND], axis=1, dtype=np.uint64, out=prefix[:, 1:])
         for j in range(SPAN):
