@@ -22,6 +22,7 @@ scores. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -149,26 +150,48 @@ def counts(t: tokens.Texts, lexicon: Lexicon) -> np.ndarray:
 
 
 def learn_stems(rows: list[tuple[str, int]]) -> list[str]:
-    """Stems that stand in toxic training texts and hardly in others."""
-    docs = [({w for w in _words(text)}, y) for text, y in rows]
-    seen, toxic = Counter(), Counter()
-    for words, y in docs:
-        starts = {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}
-        seen.update(starts)
-        if y:
-            toxic.update(starts)
-    good = lambda s: toxic[s] >= SEEN and toxic[s] >= PURE * seen[s]
-    shortest = {s for s in toxic if good(s) and not any(good(s[:n]) for n in range(STEM[0], len(s)))}
-    longer: dict[str, list[str]] = {}
-    for s in toxic:
-        longer.setdefault(s[:-1], []).append(s)
-    out = []
-    for s in shortest:
-        # As long as (nearly) all that starts so goes on alike, the stem is longer.
-        while more := [x for x in longer.get(s, []) if toxic[x] >= 0.95 * toxic[s]]:
-            s = more[0]
-        out.append(s)
-    return sorted(set(out))
+    """Stems that stand in toxic training texts and hardly in others.
+
+    Starts are counted one length after the other, and only those whose shorter
+    start was frequent but not pure, so one length's counts are held at a time.
+    """
+    pool: dict[str, str] = {}
+    held = [([pool.setdefault(w, w) for w in set(_words(text))], y) for text, y in rows]
+    toxic, clean = [w for w, y in held if y], [w for w, y in held if not y]
+    share = len(toxic) / max(1, len(rows))
+    alive: set[str] | None = None
+    found: list[str] = []
+    for n in range(STEM[0], STEM[1] + 1):
+        bad: Counter = Counter()
+        for words in toxic:
+            bad.update({w[:n] for w in words if len(w) >= n and (alive is None or w[: n - 1] in alive)})
+        # So many toxic documents that chance would not find one such start among all.
+        enough = max(SEEN, math.ceil(math.log(100 * max(1, len(bad))) / -math.log(min(max(share, 0.01), 0.9))))
+        often = {s for s, k in bad.items() if k >= SEEN}
+        good: Counter = Counter()
+        for words in clean:
+            good.update({w[:n] for w in words if w[:n] in often})
+        pure = {s for s in often if bad[s] >= enough and bad[s] >= PURE * (bad[s] + good[s])}
+        found += pure
+        alive = often - pure
+        if not alive:
+            break
+    return sorted({_grown(s, toxic) for s in found})
+
+
+def _grown(stem: str, toxic: list[list[str]]) -> str:
+    """The stem as long as (nearly) all words that start so go on alike."""
+    words = Counter(w for own in toxic for w in own if w.startswith(stem))
+    total = sum(words.values())
+    while len(stem) < STEM[1]:
+        following = Counter()
+        for w, k in words.items():
+            if w.startswith(stem) and len(w) > len(stem):
+                following[w[len(stem)]] += k
+        if not following or following.most_common(1)[0][1] < 0.95 * total:
+            break
+        stem += following.most_common(1)[0][0]
+    return stem
 
 
 def _words(text: str) -> list[str]:
@@ -186,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = lab
         return {"stems": [], "weights": weights, "bias": bias}
     got = rows.where("text is not null").toArrow()
     pairs = sorted(zip(got["text"].to_pylist(), got["y"].to_pylist()))
-    stems = learn_stems(pairs)
+    stems = learn_stems(sorted(set(pairs)))
     lexicon = Lexicon(stems)
     x = np.log1p(np.concatenate([counts(t, lexicon) for t in tokens.chunks(pa.array([p[0] for p in pairs], pa.string()))])) if pairs else np.zeros((0, len(KINDS)))
     y = np.array([p[1] for p in pairs], float)
