@@ -12,8 +12,8 @@ The bound loses no link. Tokens have one global order, rare ones first (rarity
 from counts of all tokens in a fixed array of 2^20 counters; any order is
 correct, a good one is fast). A node of n tokens that needs t = ceil(0.75 n) common ones
 shows its first n - t + l tokens; two nodes that link share at least l of what
-they show (l = 3, or 1 for sets under 12), so a group must hold l tokens of the
-query.
+they show (l = 1 + n / 16, of the smaller n), so a group must hold l tokens of the
+query, and a node of which other groups hold fewer is out.
 
 Cases. Null or empty texts, or texts without words, have no shingles and no
 links. Fewer than five words: the sequence is the one shingle. Rows that share a
@@ -44,6 +44,8 @@ BANDS = 5
 STAR = 64
 #: Up to this many rows of two numbers are sent to the texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 400_000
+#: The same for the tokens that several groups hold (one number each).
+BROADCAST_TOKENS = 2_000_000
 
 ORACLE_SQL = None  # set below
 
@@ -53,8 +55,9 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def depth(n: int) -> int:
-    return 3 if n >= 12 else 1
+def depth(n):
+    """Tokens that two linked sets share at least of what they show, n being the smaller one's size (a number or a column)."""
+    return 1 + n // 16 if isinstance(n, int) else 1 + F.floor(n / 16)
 
 
 def node_of(s: np.ndarray) -> int | None:
@@ -182,26 +185,34 @@ class Join:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(links found, groups)."""
-        keys = self.rows.where("node is not null").select("node", F.explode("bands").alias("band")).distinct()
+        few = self.nodes.count() <= BROADCAST_ROWS
+        small = F.broadcast if few else lambda df: df
+        # One row per node: the smallest of its documents stands for all.
+        unique = self.rows.join(small(self.nodes.select("node", "doc_id")), ["node", "doc_id"]).select("node", "shown", "bands")
+        keys = unique.select("node", F.explode("bands").alias("band"))
         leaders = keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
         pairs = keys.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
         links = self.verify(pairs)
         groups = common.stash(self.groups(links), "op4_groups")
         # The matrix. Tokens that one group alone holds can't bring it together with another.
-        shown = self.rows.where("node is not null").select("node", F.explode("shown").alias("token")).distinct()
-        held = shown.join(groups, "node")
-        of_token = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        held = common.stash(held.join(of_token, "token").select("token", "node", "comp", "n"), "op4_matrix")
+        shown = unique.join(small(groups), "node").select(F.explode("shown").alias("token"), "node", "comp", "n")
+        of_token = common.stash(shown.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "op4_tokens")
+        held = common.stash(shown.join(F.broadcast(of_token) if of_token.count() <= BROADCAST_TOKENS else of_token, "token", "left_semi"), "op4_matrix")
+        # A node with too few such tokens links with no other group; without those nodes more tokens are one group's.
+        able = held.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= depth(F.col("n") * self.percent / 100)).select("node")
+        held = held.join(able, "node", "left_semi")
+        still = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        held = common.stash(held.join(still, "token", "left_semi"), "op4_matrix")
         matrix = held.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most")).select("token", F.col("comp").alias("other"), "least", "most")
         low = F.least(F.min("n"), F.min("least"))
         bound = held.join(matrix, "token").where(F.col("comp") != F.col("other")).groupBy("node", "other").agg(F.count("*").alias("common"), low.alias("low"), F.max("most").alias("most"), F.min("least").alias("least"), F.first("n").alias("n"))
-        enough = F.when(F.col("low") >= 12, 3).otherwise(1)
+        enough = depth(F.col("low"))
         size = (100 * F.col("n") >= self.percent * F.col("least")) & (100 * F.col("most") >= self.percent * F.col("n"))
         opened = bound.where((F.col("common") >= enough) & size).select("node", "other")
         mine = held.select("token", "node", F.col("n").alias("n1")).join(opened, "node")
         theirs = held.select("token", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("n2"))
         pairs = mine.join(theirs, ["token", "other"]).where((F.col("node") < F.col("b")) & (100 * F.least("n1", "n2") >= self.percent * F.greatest("n1", "n2")))
-        pairs = pairs.groupBy("node", "b", "other").agg(F.count("*").alias("common"), F.first("n1").alias("n1"), F.first("n2").alias("n2")).where(F.col("common") >= F.when(F.least("n1", "n2") >= 12, 3).otherwise(1))
+        pairs = pairs.groupBy("node", "b", "other").agg(F.count("*").alias("common"), F.first("n1").alias("n1"), F.first("n2").alias("n2")).where(F.col("common") >= depth(F.least("n1", "n2")))
         pairs = common.stash(pairs, "op4_pairs")
         # The best member of each opened group first: what it links needs no further comparison.
         best = pairs.groupBy(F.col("node").alias("a"), "other").agg(F.max_by("b", F.struct("common", "b")).alias("b")).select("a", "b")
