@@ -18,6 +18,7 @@ timing: a lost task computes the same rows again.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,11 @@ MIN_CUT = 8
 #: Partitions whose open windows are merged together.
 MERGE = 64
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+# The vocabulary's rules never join letters, digits and signs of ASCII, but for an apostrophe and what follows it.
+KINDS = np.full(256, 3, np.uint8)
+KINDS[65:91] = KINDS[97:123] = 1
+KINDS[48:58] = 2
+KINDS[:33] = KINDS[127:] = KINDS[ord("'")] = 0
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -49,12 +55,12 @@ def default_path() -> str:
 class Encoder:
     """Ids of whole texts, through a bounded cache of word ids.
 
-    The vocabulary's rules drop white space and never join across it, so a
-    text's ids are those of its words. Texts that spell a special token are
+    The vocabulary's rules drop white space and never join across it, nor across
+    kinds of characters, so a text's ids are those of its words. Texts that spell a special token are
     given to the tokenizer whole.
     """
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,31 +70,30 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.index = tokens.Index()
+        #: Ids of word k are pool[at[k]:at[k + 1]].
+        self.at, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def __call__(self, t: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
-        w = tokens.words(t, lower=False)
+        w = tokens.words(t, lower=False, kinds=KINDS)
         u, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > self.MOST:
+        if len(self.index) + len(u) > self.MOST:
             self.reset()
-        fresh = np.flatnonzero(~np.isin(u, self.known, assume_unique=True))
+        k = self.index.find(u)
+        fresh = np.flatnonzero(k < 0)
         if len(fresh):
             got = self.encode(tokens.strings(t.data, w.start[at[fresh]], w.end[at[fresh]], pa.string()).to_pylist())
             n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.int64, int(n.sum()))
-            known, starts = np.concatenate([self.known, u[fresh]]), len(self.pool) + np.cumsum(n) - n
-            order = np.argsort(known)
-            self.known, self.at, self.n = known[order], np.concatenate([self.at, starts])[order], np.concatenate([self.n, n])[order]
-            self.pool = np.concatenate([self.pool, flat.astype(np.uint16)])
-        k = np.searchsorted(self.known, u)[back]
-        n = self.n[k]
+            k[fresh] = np.arange(len(got)) + len(self.at) - 1
+            self.index.add(u[fresh], k[fresh])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+            self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), np.uint16, int(n.sum()))])
+        k = k[back]
+        n = self.at[k + 1] - self.at[k]
         begin = np.cumsum(n) - n
         ids = self.pool[np.arange(int(n.sum())) + np.repeat(self.at[k] - begin, n)]
         first = np.concatenate([begin, [len(ids)]])[w.first]

@@ -96,7 +96,8 @@ class Words:
     first: np.ndarray
 
 
-def words(t: Texts, separators: np.ndarray = WHITE, lower: bool = True) -> Words:
+def words(t: Texts, separators: np.ndarray = WHITE, lower: bool = True, kinds: np.ndarray | None = None) -> Words:
+    """Runs of bytes that are no separators. With ``kinds``, also cut where two bytes of different kinds meet (kind 0: never)."""
     n = len(t.data)
     data = LOWER[t.data] if lower else t.data
     inside = np.empty(n + 2, bool)
@@ -104,6 +105,9 @@ def words(t: Texts, separators: np.ndarray = WHITE, lower: bool = True) -> Words
     np.logical_not(separators[data], out=inside[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[t.offsets] = True
+    if kinds is not None and n > 1:
+        k = kinds[data]
+        edge[1:-1] |= (k[1:] != k[:-1]) & (k[1:] > 0) & (k[:-1] > 0)
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     first = np.searchsorted(start, t.offsets)
@@ -142,3 +146,36 @@ def counted(t: Texts, w: Words, kind: pa.DataType, lower: bool = True, pick: np.
     start, end = (w.start, w.end) if pick is None else (w.start[pick], w.end[pick])
     u, at, n = np.unique(h, return_index=True, return_counts=True)
     return u, n, strings(LOWER[t.data] if lower else t.data, start[at], end[at], kind)
+
+
+class Index:
+    """Sorted hashes with a number each, for caches that grow: new ones gather in a small part first."""
+
+    SMALL = 100_000
+
+    def __init__(self) -> None:
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.parts)
+
+    def find(self, u: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out = np.full(len(u), -1, np.int64)
+        for keys, values in self.parts:
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+                hit = keys[k] == u
+                out[hit] = values[k[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """``keys``: sorted, and not there yet."""
+        self.parts[1] = self._merged(self.parts[1], (keys, values))
+        if len(self.parts[1][0]) > self.SMALL:
+            self.parts = [self._merged(*self.parts), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
