@@ -50,15 +50,20 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(f"{t}w", words)
     w = F.col(f"{t}w")
     packed = lambda h: F.shiftleft(h.bitwiseAND(F.lit(BINS - 1).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    shingle = F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: packed(F.xxhash64(F.slice(w, i, WORDS))))
-    hashes = F.when(F.size(w) >= WORDS, shingle).when(F.size(w) > 0, F.array(packed(F.xxhash64(w)))).otherwise(F.array().cast("array<long>"))
+    df = df.withColumn(f"{t}v", F.transform(w, lambda x: F.xxhash64(x)))
+    v = F.col(f"{t}v")
+    shingle = F.transform(F.sequence(F.lit(0), F.size(v) - WORDS), lambda i: packed(F.xxhash64(*[F.get(v, i + k) for k in range(WORDS)])))
+    hashes = F.when(F.size(v) >= WORDS, shingle).when(F.size(v) > 0, F.array(packed(F.xxhash64(v)))).otherwise(F.array().cast("array<long>"))
     df = df.withColumn(f"{t}h", F.sort_array(hashes))
     h = F.col(f"{t}h")
     bin_of = lambda x: F.shiftright(x, 56)
     df = df.withColumn(f"{t}m", F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1)))))
     m = F.col(f"{t}m")
-    held = F.map_from_entries(F.transform(m, lambda x: F.struct(bin_of(x).cast("int"), x)))
-    df = df.withColumn(f"{t}b", F.when(F.size(m).isin(0, BINS), m).otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.try_element_at(held, i))))
+    # The bins that have a value, in a column that is used twice: an expression used once would move into the lambda below.
+    df = df.withColumn(f"{t}k", F.transform(m, lambda x: bin_of(x).cast("int")))
+    k = F.col(f"{t}k")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(m, F.array_position(k, i).cast("int") - 1))
+    df = df.withColumn(f"{t}b", F.when(F.size(k).isin(0, BINS), m).otherwise(spread))
     b = F.col(f"{t}b")
     order = F.from_json(F.lit(json.dumps(_permutations())), "array<array<int>>")
 
@@ -70,12 +75,13 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     filled = F.when(F.size(m).isin(0, BINS), b).otherwise(F.transform(b, fill))
     digit = lambda x: F.substring(F.lit("0123456789abcdef"), (x.bitwiseAND(F.lit(2**BITS - 1).cast("long")) + 1).cast("int"), 1)
     df = df.withColumn(f"{t}f", filled)
-    return df.withColumn(out, F.array_join(F.transform(F.col(f"{t}f"), digit), "")).drop(*[f"{t}{x}" for x in "whmbf"])
+    return df.withColumn(out, F.array_join(F.transform(F.col(f"{t}f"), digit), "")).drop(*[f"{t}{x}" for x in "wvhmkbf"])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Bias-corrected share of equal bins of two fingerprints."""
-    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(BINS)), lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1)))) / F.lit(float(BINS))
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y)
+    agree = F.size(F.filter(same, lambda x: x)) / F.lit(float(BINS))
     chance = 2.0**-BITS
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (agree - chance) / (1 - chance))))
 
