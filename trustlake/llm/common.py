@@ -6,6 +6,8 @@ tables that every executor can reach, and bounded per-process caches.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -66,6 +68,15 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that earlier tasks of this Python worker left behind back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def arrow_rows(batches: Iterable[pa.RecordBatch], step: int = 2000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``step``, which bounds what one step of Python holds."""
     for b in batches:

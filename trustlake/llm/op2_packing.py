@@ -60,7 +60,7 @@ class Encoder:
     given to the tokenizer whole.
     """
 
-    MOST = 1_000_000
+    MOST = 600_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,6 +190,7 @@ class _Rows:
 
 def _pack(path: str, size: int, most: int, min_cut: int, merge: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         pid = TaskContext.get().partitionId()
         encode, windows, rows = encoder(path), Windows(size, most, min_cut, pid << 31), _Rows()
 

@@ -16,7 +16,7 @@ _P = 0x9E3779B97F4A7C15  # odd, 5 modulo 8
 _P_INV = pow(_P, -1, 1 << 64)
 _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 #: [\x20\x09-\x0D]
 WHITE = np.zeros(256, bool)
