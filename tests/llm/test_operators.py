@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.llm import lattice, op1_quality, op2_packing, op3_language_model, op4_jaccard, op5_language, op6_toxicity, op7_suffix, op8_sampling, op9_fingerprint, op10_topk, pitman_yor, registry, tokens
+from trustlake.llm import contexts, lattice, op1_quality, op2_packing, op3_language_model, op4_jaccard, op5_language, op6_toxicity, op7_suffix, op8_sampling, op9_fingerprint, op10_topk, pitman_yor, registry, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -208,6 +208,41 @@ def test_base_score(docs, empty):
     assert op3_language_model.score(empty).count() == 0
 
 
+def _far_words():
+    """1,200 words in few classes; what follows x depends on the word before x, all beyond the frequent ones."""
+    rng = random.Random(9)
+    fill = [f"zz{i:04d}" for i in range(1200)]
+    text = [" ".join(w for w in rng.sample(fill, 1200) for _ in range(3)) for _ in range(4)]
+    return text + ["aaqq aaxx aaone", "aarr aaxx aatwo"] * 12
+
+
+def test_contexts_are_words_however_rare(spark):
+    ids = [i for i in range(1000) if fold(i, 7) != 2]
+    held = [i for i in range(1000) if fold(i, 7) == 2][:2]
+    right, wrong = "aaqq aaxx aaone", "aaqq aaxx aatwo"
+    rows = list(zip(ids, _far_words(), strict=False)) + list(zip(held, (right, wrong), strict=True))
+    got = {r["doc_id"]: r["score"] for r in op3_language_model.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[held[0]] > got[held[1]] + 0.15
+
+
+def test_context_restaurants_give_away_all_they_keep_back(spark):
+    texts = spark.createDataFrame([(t,) for t in _far_words()], "text string")
+    m, table = op3_language_model.fit(texts)
+    seated = contexts.fit(texts, m, table)
+    t = next(tokens.chunks(pa.array(_far_words()), 1 << 30))
+    c1, c2, w = contexts.around(tokens.words(t), len(t))
+    p = {r["k2"]: r["p"] for r in seated.cells.collect()}
+    p1 = {(r["c1"], r["w"]): r["p1"] for r in seated.pairs.collect()}
+    b2 = {r["c2"]: r["b2"] for r in seated.long.collect()}
+    kept, seen = collections.Counter(), set()
+    for a, b, x, k in zip(*(v.view(np.int64).tolist() for v in (c1, c2, w, contexts.key(c2, w))), strict=True):
+        if k not in seen:
+            seen.add(k)
+            kept[b] += p[k] - b2[b] * p1[a, x]
+    assert seen == set(p) and set(kept) == set(b2)
+    assert all(abs(kept[b] + b2[b] - 1) < 1e-9 for b in kept)
+
+
 def test_pitman_yor_sums_to_one_and_keeps_customers():
     rng = np.random.default_rng(4)
     context, dish = np.divmod(np.arange(60), 10)

@@ -1,0 +1,172 @@
+"""Restaurants of one and of two words before, over all words, in Spark tables keyed by hash.
+
+The class model of ``op3_language_model`` is the base. A restaurant whose context
+is the word before has words as dishes and the base as parent; one whose context
+is the two words before has that of the last of them as parent. Neither contexts
+nor dishes are bounded, nothing of them is gathered or broadcast by this module:
+cells (context, word) are counted, seated and joined by key.
+
+Tables of a cell are sampled given its parent's probability, top down: first with
+one table for each cell below, then the shorter contexts with the customers that
+the longer ones send. Other dishes of a restaurant count with one table each.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, tokens
+from .pitman_yor import seatings
+
+THETA = 1.0
+BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # as words
+
+
+def key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tokens.mix(context * np.uint64(0xD1342543DE82EF95) + tokens.mix(word))
+
+
+def column(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+def around(w: tokens.Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens with the ends: the word before, a key of the two before, and the word."""
+    first = np.concatenate([[0], np.cumsum(np.diff(w.first) + 1)])
+    now = np.full(first[-1], END, np.uint64)
+    now[np.arange(len(w.hash)) + w.doc] = w.hash
+    one = np.concatenate([[BEGIN], now[:-1]])
+    one[first[:-1]] = BEGIN
+    two = np.concatenate([[BEGIN], one[:-1]])
+    two[first[:-1]] = BEGIN
+    return one, key(one, two), now
+
+
+def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cell of every token."""
+    for b in batches:
+        for t in tokens.chunks(b.column("text")):
+            w = tokens.words(t)
+            _, c2, word = around(w, len(t))
+            rows = b.column("row").slice(t.row, len(t)).take(pa.array(np.repeat(np.arange(len(t)), np.diff(w.first) + 1)))
+            yield pa.RecordBatch.from_pydict({"row": rows, "k2": column(key(c2, word))})
+
+
+def _count(lexicon, sequence):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in tokens.chunks(b.column("text"), 8_000_000):
+                w = tokens.words(t)
+                before, now, _ = sequence(lexicon(tokens.LOWER[t.data], w), w, len(t))
+                c1, c2, word = around(w, len(t))
+                u, at, n = np.unique(key(c2, word), return_index=True, return_counts=True)
+                place = (before * np.int64(1 << 16) + now)[at]
+                yield pa.RecordBatch.from_pydict({"k2": column(u), "c2": column(c2[at]), "c1": column(c1[at]), "w": column(word[at]), "place": pa.array(place), "n": pa.array(n)})
+
+    return run
+
+
+def _base(m, frequent: int, word_d: float):
+    """(c1, w, k, p0): the base's probability of the word after the word's class before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = b.column("place").to_numpy()
+            before, now = place >> 16, place & 0xFFFF
+            n, tables, spell = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("n", "tables", "spell"))
+            p = 10.0 ** m.sequence[before, now].astype(np.float64)
+            rare = (now >= frequent) & (now < frequent + len(m.norm))
+            c = now[rare] - frequent
+            p[rare] *= np.maximum(n[rare] - word_d * tables[rare], 0) / m.norm[c] + m.new[c] * spell[rare]
+            yield pa.RecordBatch.from_pydict({"c1": b.column("c1"), "w": b.column("w"), "k": b.column("k"), "p0": pa.array(p)})
+
+    return run
+
+
+def _seat(d: float, keep: list[str]):
+    """Seat the customers of cells (n, dishes of the restaurant v, parent's probability p)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, v, p = (b.column(c).to_numpy() for c in ("n", "v", "p"))
+                rng = np.random.default_rng(int(b.column(keep[0])[0].as_py()) & 0xFFFFFFFF)
+                mean, last = seatings(n, (THETA + d * np.maximum(v - 1, 0)) * p, d * p, d, rng)
+                yield pa.RecordBatch.from_pydict({c: b.column(c) for c in keep} | {"t": pa.array(mean), "last": pa.array(last)})
+
+    return run
+
+
+def _discount(df: DataFrame, n: str) -> float:
+    s = df.agg(F.count_if(F.col(n) == 1).alias("one"), F.count_if(F.col(n) == 2).alias("two")).first()
+    return min(0.9, max(0.1, s["one"] / (s["one"] + 2 * s["two"]))) if s["one"] else 0.5
+
+
+@dataclass
+class Seated:
+    cells: DataFrame  # k2, p: probability of the word after two words, where training has it
+    pairs: DataFrame  # c1, w, p1: after one word
+    short: DataFrame  # c1, b1: what a context of one word leaves to the base
+    long: DataFrame  # c2, b2: what a context of two words leaves to that of one
+
+
+def _share(n: str, t: str, d: float):
+    """What a restaurant of n customers and t tables leaves to its parent."""
+    return (THETA + d * F.col(t)) / (THETA + F.col(n))
+
+
+def fit(train: DataFrame, m, table: DataFrame) -> Seated:
+    """Seat the restaurants of ``train`` (text); the helper tables are deleted."""
+    folders: list[str] = []
+    common.NOTED.append(folders)
+    try:
+        out = _fit(train, m, table)
+    finally:
+        common.NOTED.remove(folders)
+    common.release(reduce(DataFrame.union, [x.select(F.lit(1)) for x in (out.cells, out.pairs, out.short, out.long)]), folders)
+    return out
+
+
+def _fit(train: DataFrame, m, table: DataFrame) -> Seated:
+    from .op3_language_model import FREQUENT, WORD_D, _sequence
+
+    cells = train.mapInArrow(_count(m.lexicon, _sequence), "k2 long, c2 long, c1 long, w long, place long, n long")
+    cells = cells.groupBy("k2").agg(*[F.first(c).alias(c) for c in ("c2", "c1", "w", "place")], F.sum("n").alias("n"))
+    cells = common.stash(cells, "op3_cells")
+    pairs = cells.groupBy("c1", "w").agg(F.first("place").alias("place"), F.count("*").alias("k"))
+    pairs = pairs.join(table.select(F.col("h").alias("w"), "n", "tables", "spell"), "w", "left")
+    pairs = common.stash(pairs.mapInArrow(_base(m, FREQUENT, WORD_D), "c1 long, w long, k long, p0 double"), "op3_pairs")
+    d2, d1 = _discount(cells, "n"), _discount(pairs, "k")
+
+    # Two words before. A cell of one customer has one table; the others are seated.
+    long = cells.groupBy("c2").agg(F.sum("n").alias("customers"), F.count("*").alias("v"))
+    short = pairs.groupBy("c1").agg(F.sum("k").alias("customers"), F.count("*").alias("v"))
+    parent = pairs.join(short, "c1").select("c1", "w", ((F.col("k") - d1) / (THETA + F.col("customers")) + _share("customers", "v", d1) * F.col("p0")).alias("p"))
+    many = cells.where("n > 1").join(long.select("c2", "v"), "c2").join(parent, ["c1", "w"])
+    kept = ["k2", "c2", "c1", "w", "n"]
+    many = common.stash(many.select(*kept, "v", "p").mapInArrow(_seat(d2, kept), "k2 long, c2 long, c1 long, w long, n long, t double, last long"), "op3_many")
+    more = many.groupBy("c2").agg(F.sum(F.col("t") - 1).alias("more"))
+    long = long.join(more, "c2", "left").withColumn("t", F.col("v") + F.coalesce("more", F.lit(0.0)))
+    long = common.stash(long.select("c2", "customers", _share("customers", "t", d2).alias("b2")), "op3_long")
+
+    # One word before: its customers are the tables above.
+    more = many.groupBy("c1", "w").agg(F.sum(F.col("last") - 1).alias("more"))
+    pairs = pairs.join(more, ["c1", "w"], "left").select("c1", "w", (F.col("k") + F.coalesce("more", F.lit(0))).alias("n"), F.col("p0").alias("p"))
+    pairs = pairs.join(short.select("c1", "v"), "c1")
+    pairs = common.stash(pairs.mapInArrow(_seat(d1, ["c1", "w", "n", "p"]), "c1 long, w long, n long, p double, t double, last long"), "op3_served")
+    short = pairs.groupBy("c1").agg(F.sum("n").alias("customers"), F.sum("t").alias("t"))
+    short = common.stash(short.select("c1", "customers", _share("customers", "t", d1).alias("b1")), "op3_short")
+    pairs = pairs.join(short, "c1").select("c1", "w", ((F.col("n") - d1 * F.col("t")) / (THETA + F.col("customers")) + F.col("b1") * F.col("p")).alias("p1"))
+    pairs = common.stash(pairs, "op3_after_one")
+
+    cells = cells.where("n = 1").select(*kept, F.lit(1.0).alias("t")).unionByName(many.select(*kept, "t"))
+    cells = cells.join(long, "c2").join(pairs, ["c1", "w"])
+    cells = cells.select("k2", ((F.col("n") - d2 * F.col("t")) / (THETA + F.col("customers")) + F.col("b2") * F.col("p1")).alias("p"))
+    return Seated(common.stash(cells, "op3_after_two"), pairs, short.select("c1", "b1"), long.select("c2", "b2"))
