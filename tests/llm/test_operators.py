@@ -270,6 +270,31 @@ def test_seating_matches_the_process():
     assert abs(level.tables.mean() - want) < 0.05 * want
 
 
+def test_a_sweep_seats_all_customers():
+    """Cells of 1,000 customers at one table each: one sweep must bring about as many tables as seating from nothing."""
+    h = pitman_yor.Hierarchy(np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50), np.full(200, 1000), [np.zeros(50, int)], 4)
+    want = h.levels[0].tables.mean()
+    h.levels[0].cell, h.levels[0].sizes = np.arange(200), h.levels[0].count.copy()
+    h.sweep(1)
+    assert h.levels[0].tables.mean() > want / 2
+
+
+def test_seatings_of_small_cells_are_exact():
+    """P(t tables) is proportional to the generalised Stirling number times the weights of t - 1 new tables."""
+    c, d, new, more = 8, 0.5, 0.3, 0.05
+    s = np.zeros((c + 1, c + 1))
+    s[0, 0] = 1
+    for n in range(c):
+        for t in range(n + 1):
+            s[n + 1, t] += (n - d * t) * s[n, t]
+            s[n + 1, t + 1] += s[n, t]
+    w = np.array([s[c, t] * math.prod(new + more * i for i in range(1, t)) for t in range(1, c + 1)])
+    n, one = 40_000, np.ones(40_000)
+    _, t = pitman_yor.seatings(np.full(n, c), new * one, more * one, d, np.random.default_rng(2), 6, 1)
+    got = np.bincount(t, minlength=c + 1)[1:] / n
+    assert np.abs(got - w / w.sum()).max() < 0.01
+
+
 # -- 4
 def test_jaccard(docs, empty):
     sets = []
