@@ -41,7 +41,6 @@ def test_shapes(spark):
     given = ["+255700000000.0", "BD_TELCO_X", "a1b2", "", None, "é x\ty", "aaa  9"]
     want = ["+9{12}.9", "A{2}_A{5}_A", "a9a9", "<empty>", "<null>", r"U_a\sa", "a{3}_{2}9"]
     assert one(spark, given, shapes.shape_class) == want
-    assert [scrub.shape_of(x) for x in given if x] == [w for g, w in zip(given, want) if g]
 
 
 def test_matches_ends_at_the_very_end(spark):
@@ -53,22 +52,34 @@ def test_days_between(spark):
     assert df.first()[0] == ["2024-02-28", "2024-02-29", "2024-03-01"]
 
 
-def test_scrub_is_idempotent_and_removes():
-    for x in ("id 123e4567-e89b-12d3-a456-426614174000", "mail a.b@example.com", "key 'abc123'", "call +255 700 000 001", "deadbeefdeadbeefdeadbeef00", "n 12345678", "path '/tmp/a1'"):
-        once = scrub.scrub_text(x)
-        assert scrub.scrub_text(once) == once
-    assert "example" not in scrub.scrub_text("mail a.b@example.com")
-    assert scrub.scrub_text("path '/tmp/a1'") == "path '/tmp/a1'"
-    assert scrub.scrub_text(None) is None
-    assert len(scrub.scrub_text("a " * 4000)) == 2000
-
-
-def test_signature():
-    a, b = (scrub.signature_text(f"row {n} of batch deadbeef{n} failed\nmore") for n in (12, 99))
-    assert a == b and "#" in a and "<hex>" in a
-    assert scrub.signature_text(None) == ""
-    assert scrub.signature_text("INT32 overflow") == "INT32 overflow"
-
-
-def test_scrub_udf(spark):
-    assert one(spark, ["mail x@y.org", None], scrub.scrub) == ["mail <email>", None]
+def test_scrub(spark):
+    given = {
+        "id 123e4567-e89b-12d3-a456-426614174000.": "id <uuid>.",
+        "mail a.b@example.com, or c@d.example.org": "mail <email>, or <email>",
+        "key 'abc123' and \"x 9\" and `b1`": "key 'a{3}9{3}' and \"a_9\" and `a9`",
+        "call +255 700 000 001 or 12 34 56": "call +9{3}_9{3}_9{3}_9{3} or 12 34 56",
+        "x deadbeefdeadbeefdeadbeef00 y": "x x{26} y",
+        "n 12345678 and +254712345678.0": "n 9{8} and +9{12}.9",
+        "path '/tmp/a1' and shape '9{2}a' on 2024-01-05": "path '/tmp/a1' and shape '9{2}a' on 2024-01-05",
+        "": "",
+        None: None,
+        "a\ufdd0b\ufdd1c": "abc",
+    }
+    once = one(spark, list(given), scrub.scrub)
+    assert once == list(given.values())
+    assert one(spark, once, scrub.scrub) == once
+    assert len(one(spark, ["a " * 4000], scrub.scrub)[0]) == 2000
+
+
+def test_scrub_stacktrace(spark):
+    trace = 'Traceback\n  File "/app/x1.py", line 3\n    call("id 1234567")\r\nValueError: bad value "ab1"\n'
+    assert one(spark, [trace, None, ""], scrub.scrub_stacktrace) == ['Traceback\n  File "/app/x1.py", line 3\n    call("id 9{7}")\nValueError: bad value "a{2}9"', None, ""]
+    long = one(spark, ["x\n" * 20_000], scrub.scrub_stacktrace)[0]
+    assert len(long) == 16_000 and long.endswith("x\nx")
+
+
+def test_signature(spark):
+    a, b, none, word, blank = one(spark, ["row 12 of batch deadbeef12 failed\nmore", " row 99 of  batch deadbeef99 failed", None, "INT32 overflow 9{3}", " \n "], scrub.error_signature)
+    assert a == b == "row # of batch <hex> failed"
+    assert (none, word, blank) == ("", "INT32 overflow 9{3}", "")
+    assert len(one(spark, ["word " * 100], scrub.error_signature)[0]) <= 200
