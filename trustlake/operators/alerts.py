@@ -92,9 +92,9 @@ def cron_fires(cron: str, start: datetime, n: int) -> list[datetime]:
 
 
 def cron_interval_minutes(cron: str, samples: int = 400) -> int:
-    """The longest gap between two fires in a row."""
-    fires = cron_fires(cron, datetime(2026, 1, 1, tzinfo=timezone.utc), samples)
-    return int(max((b - a).total_seconds() for a, b in zip(fires, fires[1:])) // 60)
+    """The longest wait between fires, over so many of them from the epoch on."""
+    times = [int(t.timestamp()) // 60 for t in cron_fires(cron, datetime.fromtimestamp(0, timezone.utc), samples)]
+    return max(map(int.__sub__, times[1:], times))
 
 
 @dataclass(frozen=True)
