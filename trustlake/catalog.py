@@ -6,7 +6,6 @@ folder (the shared folder, where the session names one).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
@@ -23,6 +22,7 @@ from .operators.census import census_frame, missing_days, reconcile
 from .operators.gate import Refusal, answer, fresh_within, min_rows, partitions_complete
 from .operators.graph import Graph
 from .operators.metrics import SemanticTable, count_true, ratio_of_sums
+from .shared import shared_dir
 from .sources.lake import Lake, Reader, runlog_rollup
 from .streaming.sinks import windowed_failures
 
@@ -300,8 +300,7 @@ _SCAN = "SELECT event_id, CAST(ts AS DATE) AS event_date, user_id, {type} AS eve
 
 
 def scratch_lake(s: SparkSession) -> Lake:
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    return Lake(s, f"{shared}/lake-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="trustlake-"), code_version="test")
+    return Lake(s, f"{shared_dir(s)}/lake-{uuid.uuid4().hex}", code_version="test")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
