@@ -6,9 +6,9 @@ tables that every executor can reach, and bounded per-process caches.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,6 +16,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
+
+
+def _give_memory_back() -> None:
+    """Let this process return what it frees: Python workers are used again by later stages, and what one keeps the next lacks.
+
+    Blocks of a megabyte or more are mapped one by one, and Arrow takes its buffers from the same allocator.
+    """
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        libc = ctypes.CDLL(None)
+        for parameter, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+            libc.mallopt(parameter, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
 #: Temporary columns carry this prefix, so they cannot clash with a table's own.
 TMP = "__tl_"
 
@@ -30,15 +48,6 @@ def fold(key: str, k: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(k))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="trustlake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 #: While a list stands here, stash() notes its folders in it (see ``release``).
 NOTED: list[list[str]] = []
 
@@ -71,10 +80,8 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def trim() -> None:
     """Give memory that earlier tasks of this Python worker left behind back to the system."""
     gc.collect()
-    try:
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not glibc
-        pass
 
 
 def arrow_rows(batches: Iterable[pa.RecordBatch], step: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -1,35 +1,47 @@
 """Operator 4: n-gram Jaccard join through a token-group matrix.
 
-Documents with equal shingle sets are one node. Nodes are first partitioned into
-groups of similar ones: nodes whose min-hash bands agree are compared exactly
-with one leader of their bucket, and groups are the components of what links.
-Then the matrix of (token, group) is stored: for every group the union of its
-members' prefix tokens. A query node's overlap with a group is bounded by the
-matrix; groups that can't reach the needed overlap stay closed, members of the
-others are compared exactly.
-
-The bound loses no link. Tokens have one global order, rare ones first (rarity
-from counts of all tokens in a fixed array of 2^20 counters; any order is
-correct, a good one is fast). A node of n tokens that needs t = ceil(0.75 n) common ones
-shows its first n - t + l tokens; two nodes that link share at least l of what
-they show (l = 1 + n / 16, of the smaller n), so a group must hold l tokens of the
-query, and a node of which other groups hold fewer is out.
+Documents with equal shingle sets are one node. Tokens (hashed shingles) have one
+global order in each step; a node of n tokens that needs t = ceil(0.75 n) common
+ones *shows* its first n - t + l of them, and two nodes that link share at least l
+of what they show (l = 1 + n / 16, n being the smaller one's size). Any order is
+exact; what it costs depends on the order.
+
+1. Nodes show tokens in the order of their hashes, in packed buckets. A node of
+   which other nodes show too few links with nothing and is out.
+2. The tokens of those left are counted exactly, all of them. A node needs t tokens
+   that others hold too; the new order is by rising frequency.
+3. Similar nodes are partitioned into groups: nodes with the same most frequent
+   token are dealt to blocks of bounded size, members are compared exactly with the
+   leader of all blocks and a few of their own, and what links is a component. A
+   component of more than a block's size is a group of its own; the others of a
+   block are one group together, linked or not.
+4. The matrix stores each group's union of shown tokens. A query node's overlap
+   with a group is bounded by the tokens that another component of the group shows;
+   only groups that reach the needed overlap are opened.
+5. Opened groups are compared with their queries exactly, inside tasks of bounded
+   size; out come the links between components, whose components are the result.
+
+Neither step 3's leaders nor the grouping can lose a link: they decide only what
+step 5 need not look at, pairs of one component.
 
 Cases. Null or empty texts, or texts without words, have no shingles and no
 links. Fewer than five words: the sequence is the one shingle. Rows that share a
-doc_id are separate documents with the same name. Equal sets are linked.
-Repeated rows return repeated rows. An empty table gives no rows. Only
-``doc_id`` and ``text`` are read.
+doc_id are separate documents with the same name; a null doc_id takes part, and is
+the component's only if no row of it has another. Equal sets are linked.
+Repeated rows return repeated rows. An empty table gives no rows. Only ``doc_id``
+and ``text`` are read, more than once: ``docs`` must give its rows in the same order
+each time, as a scan of files does (else this raises).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles, tokens
@@ -37,200 +49,397 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-COUNTERS = 1 << 20
-SLICES = 64
-BANDS = 5
-#: Members that are compared with a leader in one go.
-STAR = 64
-#: Up to this many rows of two numbers are sent to the texts; beyond, texts are shuffled to them.
+#: Members of a block, and tokens of a block, about.
+BLOCK, BLOCK_TOKENS = 512, 400_000
+#: Queries that a block is compared with in one go.
+QUERIES = 1024
+#: Leaders that a block chooses itself.
+LEADERS = 8
+#: Bytes of a bucket, about; pairs that a task gathers before it sends them.
+BUCKET, GATHER = 8_000_000, 500_000
+#: Up to this many row numbers are sent to the texts; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 400_000
-#: The same for the tokens that several groups hold (one number each).
-BROADCAST_TOKENS = 2_000_000
 
 ORACLE_SQL = None  # set below
 
 
-def needed(n: int, percent: int = PERCENT) -> int:
-    """Common tokens that a set of n needs at least: ceil(percent / 100 * n)."""
+def needed(n, percent: int = PERCENT):
+    """Common tokens that a set of n needs at least: ceil(percent / 100 * n) (numbers or arrays)."""
     return -(-percent * n // 100)
 
 
 def depth(n):
-    """Tokens that two linked sets share at least of what they show, n being the smaller one's size (a number or a column)."""
-    return 1 + n // 16 if isinstance(n, int) else 1 + F.floor(n / 16)
+    """Tokens that two linked sets share at least of what they show, n being the smaller one's size."""
+    return 1 + n // 16
 
 
-def node_of(s: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+def _depth(n: Column) -> Column:
+    return 1 + F.floor(n / 16)
 
 
-def _count(words: int):
+def _least_partner(n: Column, percent: int) -> Column:
+    return F.ceil(n * percent / 100)
+
+
+def node_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _short(node: bytes) -> int:
+    """48 bits of a node, for counts of what others show."""
+    return int.from_bytes(node[:6], "little")
+
+
+def _rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        common.trim()
         for b in batches:
-            for t in tokens.chunks(b.column("text")):
-                w, h = shingles.hashes(t, words)
-                inside = np.arange(len(h)) <= w.first[w.doc + 1] - words if len(h) else np.zeros(0, bool)
-                total += np.bincount((h[inside] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = total.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+            for t in tokens.chunks(b.column("text"), 1_000_000):
+                sets = list(shingles.sets(t, words))
+                node = [node_of(s) for s in sets]
+                short = [None if x is None else _short(x) for x in node]
+                yield pa.RecordBatch.from_pydict({"row": b.column("row").slice(t.row, len(t)), "doc_id": b.column("doc_id").slice(t.row, len(t)), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(node, pa.binary()), "short": pa.array(short, pa.int64())})
 
     return run
 
 
-def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS // SLICES, np.int64)
-    for b in batches:
-        for x in b.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers below 2^48, six bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _wide(raw: list[bytes]) -> np.ndarray:
+    out = np.zeros((sum(map(len, raw)) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
-def rarity(texts: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Level of each counter: 0 for what is not frequent, then by powers of two. 1 MB, whatever the input."""
-    got = texts.mapInArrow(_count(words), "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").toArrow()
-    total = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for s, x in zip(got["slice"].to_pylist(), got["counts"].to_pylist()):
-        total[s] = np.frombuffer(x, np.int64)
-    total = total.ravel()
-    return np.clip(np.log2(np.maximum(total, 1) / (2 * max(total.mean(), 0.5))), 0, 60).astype(np.uint8)
+def _runs(x: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, places) of the runs of equal values."""
+    cuts = np.flatnonzero(np.diff(x)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)]):
+        if hi > lo:
+            yield int(x[lo]), slice(lo, hi)
 
 
-def prefix(s: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    n = len(s)
-    most = min(n, n - needed(n, percent) + depth(n))
-    rank = level[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    return s[np.lexsort((s, rank))[:most]]
+def _bucket(t: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Bucket of evenly spread numbers below 2^bits, in their order."""
+    return ((t >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def bands(s: np.ndarray) -> list[int]:
-    """Keys of min-hash pairs: the two least values of each of BANDS rehashings, as one number."""
-    out = []
-    for k in range(BANDS):
-        x = tokens.mix(s * np.uint64(2 * k + 3) + np.uint64(k))
-        low = np.sort(np.partition(x, 1)[:2]) if len(x) > 1 else np.array([x[0], 0], np.uint64)
-        out.append(int(tokens.mix(low[:1] * np.uint64(31) + low[1:] + np.uint64(k)).view(np.int64)[0]))
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Rows that differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     return out
 
 
-def _describe(level: np.ndarray, words: int, percent: int):
+def _show(words: int, percent: int, buckets: int):
+    """What each distinct set shows in hash order: (token, node) packed by bucket of the token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            by = np.lexsort((n, t))
+            t, n = t[by], n[by]
+            new = _new(t, n)
+            t, n = t[new], n[new]
+            rows = [(b, _narrow(t[part]), _narrow(n[part])) for b, part in _runs(_bucket(t, 48, buckets))]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "tokens": pa.array([r[1] for r in rows], pa.binary()), "nodes": pa.array([r[2] for r in rows], pa.binary())})
+
         for b in batches:
             for t in tokens.chunks(b.column("text"), 1_000_000):
-                n, node, shown, band = [], [], [], []
                 for s in shingles.sets(t, words):
-                    n.append(len(s))
-                    node.append(node_of(s))
-                    shown.append(prefix(s, level, percent).view(np.int64) if len(s) else None)
-                    band.append(bands(s) if len(s) else None)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(t.row, len(t)), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "shown": pa.array(shown, pa.list_(pa.int64())), "bands": pa.array(band, pa.list_(pa.int64()))})
+                    if n := len(s):
+                        shown = tokens.mix(s[: min(n, n - needed(n, percent) + depth(n))]) >> np.uint64(16)
+                        held.append((shown, np.full(len(shown), _short(node_of(s)), np.uint64)))
+                        many += len(shown)
+                if many > GATHER:
+                    yield from out()
+                    held, many = [], 0
+        if held:
+            yield from out()
 
     return run
 
 
+def _shared(key: tuple, group: pa.Table) -> pa.Table:
+    """One bucket: how many of the tokens that a node shows there another node shows too."""
+    t, n = _wide(group["tokens"].to_pylist()), _wide(group["nodes"].to_pylist())
+    by = np.lexsort((n, t))
+    t, n = t[by], n[by]
+    new = _new(t, n)
+    t, n = t[new], n[new]
+    head = np.flatnonzero(_new(t))
+    size = np.diff(np.append(head, len(t)))
+    u, c = np.unique(n[np.repeat(size > 1, size)], return_counts=True)
+    return pa.table({"short": pa.array(u.astype(np.int64)), "c": pa.array(c, pa.int64())})
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for b in batches:
             node = b.column("node").to_pylist()
             for t in tokens.chunks(b.column("text"), 1_000_000):
-                got = [s.tobytes() if node_of(s) == node[t.row + i] else None for i, s in enumerate(shingles.sets(t, words))]
-                rows = {k: b.column(k).slice(t.row, len(t)) for k in ("node", "stars")}
-                yield pa.RecordBatch.from_pydict({**rows, "tokens": pa.array(got, pa.binary())})
+                sets = list(shingles.sets(t, words))
+                own = node[t.row : t.row + len(t)]
+                if [node_of(s) for s in sets] != own:
+                    raise RuntimeError("rows came in another order than before; write them to files first")
+                yield pa.RecordBatch.from_pydict({"node": pa.array(own, pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    return run
+
+
+def _numbers(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _spread(buckets: int):
+    """Tokens of whole sets, by bucket of the token; a node's tokens side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.cumsum(b.column("n").to_numpy())
+            for _, at in _runs(sizes // GATHER):
+                part = b.slice(at.start, at.stop - at.start)
+                t = _numbers(part.column("tokens"), "<u8")
+                node = np.repeat(part.column("id").to_numpy(), part.column("n").to_numpy())
+                bucket = _bucket(t, 64, buckets)
+                by = np.lexsort((node, bucket))
+                t, node, rows = t[by], node[by], []
+                for k, at in _runs(bucket[by]):
+                    own, size = np.unique(node[at], return_counts=True)
+                    rows.append((k, own.tobytes(), size.astype("<u4").tobytes(), t[at].tobytes()))
+                kinds = [pa.int32()] + [pa.binary()] * 3
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("bucket", "ids", "sizes", "tokens"))})
 
     return run
 
 
-def _compare(percent: int):
+def _levels(parts: int):
+    """One bucket: the tokens that two nodes or more hold, with their level (2048 times the logarithm of the frequency), back to the nodes."""
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        leader = key[0].as_py()
-        found = {a: np.frombuffer(x, np.uint64) for a, x in zip(group["node"].to_pylist(), group["tokens"].to_pylist())}
-        own, out = found.get(leader), []
-        for b, s in found.items():
-            if own is not None and b != leader:
-                both = shingles.shared(own, s)
-                if 100 * both >= percent * (len(own) + len(s) - both):
-                    out.append(b)
-        return pa.table({"a": pa.array([leader] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+        node = np.repeat(_numbers(group["ids"], "<i8"), _numbers(group["sizes"], "<u4"))
+        t = _numbers(group["tokens"], "<u8")
+        u, back, c = np.unique(t, return_inverse=True, return_counts=True)
+        many = c[back] > 1
+        node, t, level = node[many], t[many], np.round(2048 * np.log2(c[back][many])).astype("<u2")
+        part = node % parts
+        by = np.argsort(part, kind="stable")
+        node, t, level = node[by], t[by], level[by]
+        rows = [(k, node[at].tobytes(), t[at].tobytes(), level[at].tobytes()) for k, at in _runs(part[by])]
+        kinds = [pa.int64()] + [pa.binary()] * 3
+        return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("part", "ids", "tokens", "levels"))})
 
     return run
 
 
+def _arrange(percent: int):
+    """Nodes that enough others meet: (id, n, most frequent token, mean level, shown tokens that others hold)."""
+
+    def run(key: tuple, nodes: pa.Table, found: pa.Table) -> pa.Table:
+        node, t, level = _numbers(found["ids"], "<i8"), _numbers(found["tokens"], "<u8"), _numbers(found["levels"], "<u2")
+        by = np.lexsort((t, level, node))
+        node, t, level = node[by], t[by], level[by]
+        size = dict(zip(nodes["id"].to_pylist(), nodes["n"].to_pylist()))
+        rows = []
+        for k, at in _runs(node):
+            n, many = size[k], at.stop - at.start
+            need = needed(n, percent)
+            if many >= need:
+                shown = t[at][: min(many, many - need + depth(n))]
+                rows.append((k, n, int(t[at.stop - 1].view(np.int64)), float(level[at].sum()) / n, shown.view(np.int64)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+        return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("id", "n", "top", "weight", "shown"))})
+
+    return run
+
+
+class Members:
+    """Sets side by side, to be compared with one set at a time."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.sets = np.array(ids, np.int64), sets
+        self.n = np.array([len(s) for s in sets], np.int64)
+        t = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        by = np.argsort(t, kind="stable")
+        self.token, self.member = t[by], np.repeat(np.arange(len(sets)), self.n)[by]
+
+    def linked(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Members that link with s."""
+        lo, hi = np.searchsorted(self.token, s, "left"), np.searchsorted(self.token, s, "right")
+        many = hi - lo
+        at = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+        both = np.bincount(self.member[at], minlength=len(self.n))
+        return np.flatnonzero((100 * both >= percent * (len(s) + self.n - both)) & (both > 0))
+
+
+def _star(percent: int):
+    """Blocks: each member gets the component of the leader that it links with, the leader of all blocks first."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("top", "ascending"), ("block", "ascending"), ("leads", "descending"), ("weight", "descending"), ("id", "ascending")])
+        top, block, ids, leads = (group[c].to_numpy() for c in ("top", "block", "id", "leads"))
+        raw = group["tokens"].to_pylist()
+        out_id, out_comp = [], []
+        for _, a in _runs(top):
+            for _, b in _runs(block[a]):
+                at = range(a.start + b.start, a.start + b.stop)
+                sets = [np.frombuffer(raw[i], "<u8") for i in at]
+                # The leader of all blocks comes first, and once more as a member in its own block.
+                mine = [k for k, i in enumerate(at) if not leads[i]]
+                m = Members([int(ids[i]) for i in at if not leads[i]], [sets[k] for k in mine])
+                comp = np.full(len(mine), -1, np.int64)
+                for k, i in enumerate(at):
+                    if leads[i]:
+                        comp[m.linked(sets[k], percent)] = ids[i]
+                for _ in range(LEADERS):
+                    free = np.flatnonzero(comp < 0)
+                    if not len(free):
+                        break
+                    hit = m.linked(m.sets[free[0]], percent)
+                    comp[hit[comp[hit] < 0]] = m.ids[free[0]]
+                out_id.append(m.ids)
+                out_comp.append(np.where(comp < 0, m.ids, comp))
+        none = np.zeros(0, np.int64)
+        return pa.table({"id": np.concatenate([none, *out_id]), "comp": np.concatenate([none, *out_comp])})
+
+    return run
+
+
+def _open(percent: int):
+    """Queries against the members of an opened group: the components that link with theirs."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("grp", "ascending"), ("mpart", "ascending"), ("qpart", "ascending"), ("asks", "ascending"), ("id", "ascending")])
+        grp, mpart, qpart, asks, ids, comp = (group[c].to_numpy() for c in ("grp", "mpart", "qpart", "asks", "id", "comp"))
+        raw, found = group["tokens"].to_pylist(), set()
+        cuts = np.flatnonzero(_new(grp, mpart, qpart)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(grp)]):
+            m = [i for i in range(lo, hi) if not asks[i]]
+            members = Members([int(ids[i]) for i in m], [np.frombuffer(raw[i], "<u8") for i in m])
+            its = comp[m]
+            for i in range(lo, hi):
+                if asks[i]:
+                    for c in np.unique(its[members.linked(np.frombuffer(raw[i], "<u8"), percent)]).tolist():
+                        if c != comp[i]:
+                            found.add((min(c, int(comp[i])), max(c, int(comp[i]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return run
+
+
+def _bins(size: int | None) -> int:
+    return max(1, math.ceil((size or 0) / BUCKET))
+
+
 class Join:
     def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> None:
         self.words, self.percent = words, percent
-        self.texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        level = rarity(self.texts.select("text"), words)
-        self.rows = common.stash(self.texts.mapInArrow(_describe(level, words, percent), "doc_id long, n long, node long, shown array<long>, bands array<long>"), "op4_rows", "none")
-        self.nodes = common.stash(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "op4_nodes")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) among ``pairs`` (leader a, member b) that link. Sets are made from the texts of the nodes at hand."""
-        star = F.struct(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("at"), F.col("b").alias("node"))
-        members = pairs.select(star.alias("s")).select("s.*")
-        sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-        members = members.join(sizes, "leader").select("leader", (F.col("at") % F.col("parts")).alias("part"), "node")
-        leaders = members.select("leader", "part").distinct().withColumn("node", F.col("leader"))
-        need = members.unionByName(leaders).groupBy("node").agg(F.collect_list(F.struct("leader", "part")).alias("stars"))
-        need = common.stash(need.join(self.nodes.select("node", "doc_id"), "node").select("doc_id", "node", "stars"), "op4_need")
-        small = need.select(F.sum(F.size("stars")).alias("n")).first()["n"] or 0
-        found = self.texts.join(F.broadcast(need) if small <= BROADCAST_ROWS else need, "doc_id")
-        sets = found.select("node", "stars", "text").mapInArrow(_sets(self.words), "node long, stars array<struct<leader:long,part:long>>, tokens binary")
-        sets = sets.where("tokens is not null").select("node", "tokens", F.explode("stars").alias("s")).select("s.leader", "s.part", "node", "tokens")
-        return common.stash(sets.groupBy("leader", "part").applyInArrow(_compare(self.percent), "a long, b long"), "op4_links")
-
-    def groups(self, links: DataFrame) -> DataFrame:
-        """(node, comp, n) of every node."""
-        comp = components(links)
-        return self.nodes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n")
-
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(links found, groups)."""
-        few = self.nodes.count() <= BROADCAST_ROWS
-        small = F.broadcast if few else lambda df: df
-        # One row per node: the smallest of its documents stands for all.
-        unique = self.rows.join(small(self.nodes.select("node", "doc_id")), ["node", "doc_id"]).select("node", "shown", "bands")
-        keys = unique.select("node", F.explode("bands").alias("band"))
-        leaders = keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
-        pairs = keys.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-        links = self.verify(pairs)
-        groups = common.stash(self.groups(links), "op4_groups")
-        # The matrix. Tokens that one group alone holds can't bring it together with another.
-        shown = unique.join(small(groups), "node").select(F.explode("shown").alias("token"), "node", "comp", "n")
-        of_token = common.stash(shown.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "op4_tokens")
-        held = common.stash(shown.join(F.broadcast(of_token) if of_token.count() <= BROADCAST_TOKENS else of_token, "token", "left_semi"), "op4_matrix")
-        # A node with too few such tokens links with no other group; without those nodes more tokens are one group's.
-        able = held.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= depth(F.col("n") * self.percent / 100)).select("node")
-        held = held.join(able, "node", "left_semi")
-        still = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        held = common.stash(held.join(still, "token", "left_semi"), "op4_matrix")
-        matrix = held.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most")).select("token", F.col("comp").alias("other"), "least", "most")
-        low = F.least(F.min("n"), F.min("least"))
-        bound = held.join(matrix, "token").where(F.col("comp") != F.col("other")).groupBy("node", "other").agg(F.count("*").alias("common"), low.alias("low"), F.max("most").alias("most"), F.min("least").alias("least"), F.first("n").alias("n"))
-        enough = depth(F.col("low"))
+        self.texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        self.rows = common.stash(self.texts.mapInArrow(_rows(words), f"row long, doc_id {kind}, n long, node binary, short long"), "op4_rows")
+        self.nodes = common.stash(self.rows.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("short").alias("short"), F.min("row").alias("row")), "op4_nodes")
+
+    def live(self) -> DataFrame:
+        """(id, node, n, tokens) of the nodes that may link by what they show in hash order."""
+        total = self.rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+        sent = self.texts.select("text").mapInArrow(_show(self.words, self.percent, _bins(total * 4)), "bucket int, tokens binary, nodes binary")
+        met = sent.groupBy("bucket").applyInArrow(_shared, "short long, c long").groupBy("short").agg(F.sum("c").alias("c"))
+        able = self.nodes.join(met, "short").where(F.col("c") >= _depth(_least_partner(F.col("n"), self.percent))).select("row", "node")
+        able = common.stash(able, "op4_able")
+        few = able.count() <= BROADCAST_ROWS
+        texts = self.texts.select("row", "text").join(F.broadcast(able) if few else able, "row").select("node", "text")
+        sets = texts.mapInArrow(_sets(self.words), "node binary, n long, tokens binary")
+        return common.stash(sets.withColumn("id", F.monotonically_increasing_id()), "op4_live", "none")
+
+    def arranged(self, live: DataFrame) -> DataFrame:
+        """(id, n, top, weight, shown) by exact frequencies."""
+        total = live.agg(F.sum("n").alias("n")).first()["n"] or 0
+        parts = _bins(total * 12)
+        sent = live.select("id", "n", "tokens").mapInArrow(_spread(_bins(total * 10)), "bucket int, ids binary, sizes binary, tokens binary")
+        back = sent.groupBy("bucket").applyInArrow(_levels(parts), "part long, ids binary, tokens binary, levels binary")
+        nodes = live.select("id", "n", F.pmod("id", F.lit(parts)).alias("part"))
+        got = nodes.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_arrange(self.percent), "id long, n long, top long, weight double, shown array<long>")
+        return common.stash(got, "op4_arranged", "none")
+
+    def grouped(self, live: DataFrame, arranged: DataFrame) -> DataFrame:
+        """(id, n, comp, grp): components found by leaders, and groups."""
+        tops = arranged.groupBy("top").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("weight", "id"))["id"].alias("leader")).where("k > 1")
+        tops = common.stash(tops.withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("all") / BLOCK_TOKENS)).cast("long")), "op4_tops")
+        dealt = arranged.join(tops.select("top", "blocks"), "top").select("id", "n", "top", "weight", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("leads"))
+        lead = tops.select(F.col("leader").alias("id"), F.lit(0).cast("long").alias("n"), "top", F.lit(0.0).alias("weight"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
+        bins = _bins((arranged.agg(F.sum("n").alias("n")).first()["n"] or 0) * 8)
+        with_sets = dealt.unionByName(lead).drop("n").join(live.select("id", "tokens"), "id").withColumn("bin", F.pmod(F.xxhash64("top", "block"), F.lit(bins)))
+        comp = common.stash(with_sets.groupBy("bin").applyInArrow(_star(self.percent), "id long, comp long"), "op4_comps")
+        sizes = comp.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("comp", F.lit(True).alias("large"))
+        placed = dealt.select("id", "n", F.xxhash64("top", "block").alias("pool")).join(comp, "id").join(sizes, "comp", "left")
+        placed = placed.select("id", "n", "comp", F.when(F.col("large"), F.col("comp")).otherwise(F.col("pool")).alias("grp"))
+        alone = arranged.join(tops.select("top"), "top", "left_anti").select("id", "n", F.col("id").alias("comp"), F.col("id").alias("grp"))
+        return common.stash(placed.unionByName(alone), "op4_groups")
+
+    def opened(self, arranged: DataFrame, groups: DataFrame) -> DataFrame:
+        """(id, grp): the groups that a query node's bound lets it look into."""
+        shown = arranged.select("id", F.explode("shown").alias("token")).join(groups, "id")
+        several = shown.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        held = common.stash(shown.join(several, "token", "left_semi"), "op4_held")
+        matrix = held.groupBy("token", "grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("id").alias("first")).withColumnRenamed("grp", "other")
+        other = ~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("comp"))) & (F.col("first") < F.col("id"))
+        bound = held.join(matrix, "token").where(other).groupBy("id", "other").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
         size = (100 * F.col("n") >= self.percent * F.col("least")) & (100 * F.col("most") >= self.percent * F.col("n"))
-        opened = bound.where((F.col("common") >= enough) & size).select("node", "other")
-        mine = held.select("token", "node", F.col("n").alias("n1")).join(opened, "node")
-        theirs = held.select("token", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("n2"))
-        pairs = mine.join(theirs, ["token", "other"]).where((F.col("node") < F.col("b")) & (100 * F.least("n1", "n2") >= self.percent * F.greatest("n1", "n2")))
-        pairs = pairs.groupBy("node", "b", "other").agg(F.count("*").alias("common"), F.first("n1").alias("n1"), F.first("n2").alias("n2")).where(F.col("common") >= depth(F.least("n1", "n2")))
-        pairs = common.stash(pairs, "op4_pairs")
-        # The best member of each opened group first: what it links needs no further comparison.
-        best = pairs.groupBy(F.col("node").alias("a"), "other").agg(F.max_by("b", F.struct("common", "b")).alias("b")).select("a", "b")
-        links = links.unionByName(self.verify(best))
-        now = common.stash(self.groups(links), "op4_groups").select("node", "comp")
-        left = pairs.join(now.select("node", F.col("comp").alias("c1")), "node").join(now.select(F.col("node").alias("b"), F.col("comp").alias("c2")), "b").where("c1 <> c2")
-        links = links.unionByName(self.verify(left.select(F.col("node").alias("a"), "b")))
-        return links, self.groups(links)
+        low = F.greatest(F.least("n", "least"), _least_partner(F.col("n"), self.percent))
+        return common.stash(bound.where((F.col("common") >= _depth(low)) & size).select("id", F.col("other").alias("grp")), "op4_opened")
+
+    def links(self, live: DataFrame, groups: DataFrame, opened: DataFrame) -> DataFrame:
+        """(a, b): components of opened groups and of their queries that link."""
+        blocks = lambda most: F.ceil(F.greatest(F.count("*") / most, F.sum("n") / (BLOCK_TOKENS * most / BLOCK)))
+        opened = opened.join(groups.select("id", "n", "comp"), "id")
+        asked = opened.groupBy("grp").agg(blocks(QUERIES).alias("qparts"))
+        sizes = groups.join(asked, "grp").groupBy("grp").agg(blocks(BLOCK).alias("mparts"), F.min("qparts").alias("qparts"))
+        sizes = common.stash(sizes, "op4_sizes")
+        deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        members = groups.join(sizes, "grp").select("grp", "id", "comp", deal("mparts").alias("mpart"), every("qparts").alias("qpart"), F.lit(False).alias("asks"))
+        queries = opened.join(sizes, "grp").select("grp", "id", "comp", every("mparts").alias("mpart"), deal("qparts").alias("qpart"), F.lit(True).alias("asks"))
+        both = common.stash(members.unionByName(queries), "op4_asked")
+        both = both.join(live.select("id", "n", "tokens"), "id")
+        size = both.agg(F.sum("n").alias("n")).first()["n"] or 0
+        both = both.withColumn("bin", F.pmod(F.xxhash64("grp", "mpart", "qpart"), F.lit(_bins(size * 8)))).drop("n")
+        return common.stash(both.groupBy("bin").applyInArrow(_open(self.percent), "a long, b long").distinct(), "op4_links")
+
+    def run(self) -> DataFrame:
+        """(row, doc_id, n, comp) of every row; comp names its component (null without shingles)."""
+        live = self.live()
+        arranged = self.arranged(live)
+        groups = self.grouped(live, arranged)
+        links = self.links(live, groups, self.opened(arranged, groups))
+        joined = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        of_live = groups.join(joined, "comp", "left").select("id", F.coalesce("root", "comp").cast("string").alias("root"))
+        of_node = live.select("id", "node").join(of_live, "id").select("node", "root")
+        rows = self.rows.select("row", "doc_id", "n", "node").join(common.stash(of_node, "op4_roots"), "node", "left")
+        return common.stash(rows.select("row", "doc_id", "n", F.coalesce("root", F.hex("node")).alias("comp")), "op4_named")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    j = Join(docs, words, percent)
-    _, groups = j.run()
-    named = groups.join(j.nodes.select("node", "doc_id"), "node")
-    ids = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_node = common.stash(named.join(ids, "comp").select("node", "component_id"), "op4_components")
-    return j.rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = Join(docs, words, percent).run()
+    # Written first: Spark can split a large component's rows only where both sides of the join come straight from a shuffle.
+    ids = common.stash(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "op4_ids")
+    return rows.join(ids, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def repeated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(row) of every row but the first of its component (smallest doc_id, nulls last, then the earliest row); row: monotonically_increasing_id() over ``docs``."""
+    rows = Join(docs, words, percent).run().where("comp is not null")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"), F.count("*").alias("many")).where("many > 1")
+    return rows.join(first, "comp").where(F.col("row") != F.col("first")).select("row")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
