@@ -3,16 +3,18 @@
 Components become integers floor(256 * x). Vectors are rotated onto the
 eigenvectors of their Gram matrix (the SVD's right vectors), so a few leading
 coordinates carry most of an inner product; Cauchy-Schwarz bounds the rest by
-the product of residual lengths. Vectors are dealt to parts by descending
-length. A first look at the longest vectors gives each query a threshold; parts
+the product of residual lengths. Vectors are dealt to classes of length, each a
+twentieth longer than the next, and a class to parts of bounded size; what part a
+vector belongs to is data, a column, and no partition of Spark's. A first look at the longest vectors gives each query a threshold; parts
 whose length times the query's can't reach it are never paired, and inside a
-part blocks and vectors are dropped by the same kind of bound. What survives is
-scored exactly, in integers.
+part vectors come by descending length and are dropped by the same kind of bound.
+What survives is scored exactly, in integers.
 
 Queries and parts meet in blocks of fixed size, so no task holds all of either.
 
 Cases. Vectors that are null, empty or hold null, NaN or infinite components take
-no part, nor do rows with a null vec_id. Shorter vectors count as padded with
+no part, nor do rows with a null vec_id. If components are so large that a score
+might not fit a long, this raises: a wrapped score would be wrong in silence. Shorter vectors count as padded with
 zeros. Rows that share the query's vec_id are its own. Equal scores go to the
 smaller vec_id; repeated candidate rows count each. Fewer than k candidates: all
 of them. An empty table gives no rows. Other columns are not read.
@@ -33,7 +35,8 @@ from . import common
 K = 5
 PART = 20_000
 QUERY_BLOCK = 2048
-MOST_PARTS = 65_536
+#: Logarithm of the squared length of one class over the next. Doubles have at most 14,200 such classes.
+STEP_LOG = 0.1
 #: The longest vectors looked at first, to give every query a threshold.
 SEED = 2048
 STEP = 1024
@@ -148,9 +151,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     all_rows = common.stash(quantised(vectors), "op10_vectors")
-    s = all_rows.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("width"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    s = all_rows.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("width"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.array_max(F.transform("e", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
     if not s["q"]:
         return spark.createDataFrame([], schema)
+    if s["most"] ** 2 * s["width"] >= 2.0**63:
+        raise OverflowError(f"components up to {s['most']:.3g} in {s['width']} dimensions: scores may not fit a long")
     n, width = s["n"], s["width"]
     g = all_rows.select("e").mapInArrow(_gram(width), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
     gram = np.zeros((width, width))
@@ -167,15 +172,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     queries = all_rows.where(F.col("vec_id") % every == 0).mapInArrow(first_look, "vec_id long, e array<long>, norm2 double, floor double")
     blocks = max(1, math.ceil(s["q"] / QUERY_BLOCK))
     queries = common.stash(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "op10_queries")
-    parts = min(MOST_PARTS, max(1, math.ceil(n / PART)))
-    dealt = all_rows.repartitionByRange(parts, F.desc("norm2"), F.col("vec_id")).withColumn("part", F.spark_partition_id())
-    dealt = common.stash(dealt, "op10_parts")
-    longest = {r["part"]: r["x"] for r in dealt.groupBy("part").agg(F.max("norm2").alias("x")).collect()}
-    # Parts come by descending length: a block of queries needs the parts before the first that none of them can use.
-    edges = [math.sqrt(longest.get(p, 0.0)) for p in range(parts)]
+    dealt = all_rows.withColumn("class", F.floor(F.log(F.greatest("norm2", F.lit(1.0))) / STEP_LOG).cast("int"))
+    # One row a class, and of those no more than doubles have: what comes to the driver is bounded.
+    classes = [(r["class"], math.exp((r["class"] + 1) * STEP_LOG / 2), math.ceil(r["n"] / PART)) for r in dealt.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect()]
+    known = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(x).alias("longest"), F.lit(p).alias("parts")) for c, x, p in classes])
     need = queries.groupBy("block").agg(F.min(F.when(F.col("norm2") > 0, F.col("floor") / F.sqrt("norm2")).otherwise(F.lit(-float("inf")))).alias("least"))
-    reach = F.size(F.filter(F.lit(edges), lambda x: x * (1 + 1e-9) + 1e-6 >= F.col("least")))
-    pairs = need.where(reach > 0).select("block", F.explode(F.sequence(F.lit(0), reach - 1)).alias("part"))
+    reach = F.filter(known, lambda c: c["longest"] * (1 + 1e-9) + 1e-6 >= F.col("least"))
+    pairs = need.select("block", F.explode(reach).alias("c")).select("block", F.col("c")["class"].alias("class"), F.explode(F.sequence(F.lit(0), F.col("c")["parts"] - 1)).alias("part"))
+    parts = F.element_at(F.map_from_entries(F.array(*[F.struct(F.lit(c), F.lit(p)) for c, _, p in classes])), F.col("class"))
+    dealt = dealt.withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -184,9 +189,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
         look.look(*_sorted(right, width))
         return pa.table({"query_id": look.ids[look.query], "vec_id": look.found, "score": look.score})
 
-    left = queries.join(pairs, "block").groupBy("block", "part")
-    again = pairs.select(F.col("block").alias("block"), F.col("part").alias("part"))
-    right = dealt.join(again, "part").select("block", "part", "vec_id", "e", "norm2").groupBy("block", "part")
+    keys = ["block", "class", "part"]
+    left = queries.join(pairs, "block").groupBy(*keys)
+    again = pairs.select(*[F.col(c).alias(c) for c in keys])
+    right = dealt.join(again, ["class", "part"]).select(*keys, "vec_id", "e", "norm2").groupBy(*keys)
     found = left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
