@@ -70,7 +70,7 @@ def test_small_blocks_and_shuffled_texts(spark, tmp_path, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts)[0]
 
 
-def test_null_and_repeated_ids(spark, tmp_path):
+def test_null_and_repeated_ids(spark, tmp_path, monkeypatch):
     """Near copies without ids link; of a component the row with the smallest id comes first, of one without ids the earliest."""
     rng = random.Random(4)
     a, b, c = family(rng, 3, 100, 1), family(rng, 2, 90, 1), family(rng, 2, 80, 0)
@@ -79,6 +79,8 @@ def test_null_and_repeated_ids(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "t"))
     got = sorted(map(tuple, op4_jaccard.join(docs).collect()), key=str)
     assert got == sorted([(7, 96, 7), (None, 96, 7), (9, 96, 7), (None, 86, None), (None, 86, None), (7, 76, 7), (7, 76, 7), (7, 26, 7), (None, 0, None), (3, 0, 3)], key=str)
-    gone = op4_jaccard.repeated(docs)
-    kept = docs.withColumn("row", F.monotonically_increasing_id()).join(gone, "row", "left_anti")
-    assert sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in kept.collect()) == sorted((str(i), (t or "")[:2]) for i, t in [rows[0], rows[3], rows[5], rows[7], rows[8], rows[9]])
+    for most in (400_000, 0):
+        monkeypatch.setattr(op4_jaccard, "BROADCAST_ROWS", most)
+        kept = op4_jaccard.representatives(docs)
+        assert kept.columns == docs.columns
+        assert sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in kept.collect()) == sorted((str(i), (t or "")[:2]) for i, t in [rows[0], rows[3], rows[5], rows[7], rows[8], rows[9]])

@@ -442,6 +442,15 @@ def repeated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     return rows.join(first, "comp").where(F.col("row") != F.col("first")).select("row")
 
 
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without the rows that ``repeated`` names: one row of each component, whatever ids rows have, and every row without words."""
+    gone = common.stash(repeated(docs, words, percent), "op4_repeated")
+    few = gone.count() <= BROADCAST_ROWS
+    row = common.TMP + "row"
+    gone = gone.select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(gone) if few else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
 
