@@ -30,6 +30,7 @@ def _stage(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(docs, _HELPERS)
+        common.trim()
         common.NOTED.append(_HELPERS)
         try:
             return function(spark, docs, sf_dir)
@@ -56,15 +57,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id (of rows that share it: the least text)."""
-    groups = op4_jaccard.join(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    few = groups.count() <= op4_jaccard.BROADCAST_ROWS
-    kept = docs.join(F.broadcast(groups) if few else groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if not twice.limit(1).count():
-        return kept
-    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(_TMP)).select(f"{_TMP}.*")
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    """One row of each group of linked documents, the one with the smallest doc_id (nulls last, then the earliest row).
+
+    Rows count, not ids: different texts under one id are both kept, near copies without ids are not.
+    """
+    return op4_jaccard.representatives(docs)
 
 
 @_stage
