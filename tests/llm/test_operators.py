@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.llm import contexts, lattice, op1_quality, op2_packing, op3_language_model, op4_jaccard, op5_language, op6_toxicity, op7_suffix, op8_sampling, op9_fingerprint, op10_topk, pitman_yor, registry, tokens
+from trustlake.llm import lattice, op1_quality, op2_packing, op3_language_model, op4_jaccard, op5_language, op6_toxicity, op7_suffix, op8_sampling, op9_fingerprint, op10_topk, registry, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -208,93 +208,6 @@ def test_base_score(docs, empty):
     assert op3_language_model.score(empty).count() == 0
 
 
-def _far_words():
-    """1,200 words in few classes; what follows x depends on the word before x, all beyond the frequent ones."""
-    rng = random.Random(9)
-    fill = [f"zz{i:04d}" for i in range(1200)]
-    text = [" ".join(w for w in rng.sample(fill, 1200) for _ in range(3)) for _ in range(4)]
-    return text + ["aaqq aaxx aaone", "aarr aaxx aatwo"] * 12
-
-
-def test_contexts_are_words_however_rare(spark):
-    ids = [i for i in range(1000) if fold(i, 7) != 2]
-    held = [i for i in range(1000) if fold(i, 7) == 2][:2]
-    right, wrong = "aaqq aaxx aaone", "aaqq aaxx aatwo"
-    rows = list(zip(ids, _far_words(), strict=False)) + list(zip(held, (right, wrong), strict=True))
-    got = {r["doc_id"]: r["score"] for r in op3_language_model.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
-    assert got[held[0]] > got[held[1]] + 0.15
-
-
-def test_context_restaurants_give_away_all_they_keep_back(spark):
-    texts = spark.createDataFrame([(t,) for t in _far_words()], "text string")
-    m, table = op3_language_model.fit(texts)
-    seated = contexts.fit(texts, m, table)
-    t = next(tokens.chunks(pa.array(_far_words()), 1 << 30))
-    c1, c2, w = contexts.around(tokens.words(t), len(t))
-    p = {r["k2"]: r["p"] for r in seated.cells.collect()}
-    p1 = {(r["c1"], r["w"]): r["p1"] for r in seated.pairs.collect()}
-    b2 = {r["c2"]: r["b2"] for r in seated.long.collect()}
-    kept, seen = collections.Counter(), set()
-    for a, b, x, k in zip(*(v.view(np.int64).tolist() for v in (c1, c2, w, contexts.key(c2, w))), strict=True):
-        if k not in seen:
-            seen.add(k)
-            kept[b] += p[k] - b2[b] * p1[a, x]
-    assert seen == set(p) and set(kept) == set(b2)
-    assert all(abs(kept[b] + b2[b] - 1) < 1e-9 for b in kept)
-
-
-def test_pitman_yor_sums_to_one_and_keeps_customers():
-    rng = np.random.default_rng(4)
-    context, dish = np.divmod(np.arange(60), 10)
-    n = rng.integers(1, 200, 60)
-    h = pitman_yor.Hierarchy(context, dish, n, [np.array([0, 0, 1, 1, 1, 0]), np.array([0, 0])], 12)
-    for _ in range(3):
-        h.sweep(3)
-        for level in h.levels:
-            assert (np.bincount(level.cell, level.sizes, len(level.count)) == level.count).all() and (level.sizes > 0).all()
-            assert (level.tables <= level.count).all() and (level.tables[level.count > 0] >= 1).all()
-        assert h.levels[0].tables.sum() == h.levels[1].count.sum()
-    assert np.allclose(h.averaged(1, 2, 2).sum(axis=1), 1, atol=1e-5)
-
-
-def test_seating_matches_the_process():
-    """Tables of c customers without data: E[T] of a Pitman-Yor restaurant."""
-    rng, c, d, theta = np.random.default_rng(1), 50, 0.5, 2.0
-    level = pitman_yor.Level(np.arange(4000), np.zeros(4000, int), np.full(4000, c), 4000, d, theta)
-    # One dish that the parent always serves: every seating is the prior's.
-    one = np.ones(4000)
-    level.start(one, rng)
-    for _ in range(300):
-        level.step(one, rng)
-    want = theta / d * (np.prod([(theta + d + i) / (theta + i) for i in range(c)]) - 1)
-    assert abs(level.tables.mean() - want) < 0.05 * want
-
-
-def test_a_sweep_seats_all_customers():
-    """Cells of 1,000 customers at one table each: one sweep must bring about as many tables as seating from nothing."""
-    h = pitman_yor.Hierarchy(np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50), np.full(200, 1000), [np.zeros(50, int)], 4)
-    want = h.levels[0].tables.mean()
-    h.levels[0].cell, h.levels[0].sizes = np.arange(200), h.levels[0].count.copy()
-    h.sweep(1)
-    assert h.levels[0].tables.mean() > want / 2
-
-
-def test_seatings_of_small_cells_are_exact():
-    """P(t tables) is proportional to the generalised Stirling number times the weights of t - 1 new tables."""
-    c, d, new, more = 8, 0.5, 0.3, 0.05
-    s = np.zeros((c + 1, c + 1))
-    s[0, 0] = 1
-    for n in range(c):
-        for t in range(n + 1):
-            s[n + 1, t] += (n - d * t) * s[n, t]
-            s[n + 1, t + 1] += s[n, t]
-    w = np.array([s[c, t] * math.prod(new + more * i for i in range(1, t)) for t in range(1, c + 1)])
-    n, one = 40_000, np.ones(40_000)
-    _, t = pitman_yor.seatings(np.full(n, c), new * one, more * one, d, np.random.default_rng(2), 6, 1)
-    got = np.bincount(t, minlength=c + 1)[1:] / n
-    assert np.abs(got - w / w.sum()).max() < 0.01
-
-
 # -- 4
 def test_jaccard(docs, empty):
     sets = []

@@ -77,6 +77,20 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a stashed table that nothing will read again."""
+    folders = list(dict.fromkeys(f.rpartition("/")[0] for f in df.inputFiles()))
+    for folder in folders:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner find what finished steps no longer need: it deletes shuffle files once the driver has collected their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Give memory that earlier tasks of this Python worker left behind back to the system."""
     gc.collect()
