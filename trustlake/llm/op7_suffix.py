@@ -39,7 +39,10 @@ LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a string of LENGTH bytes, and strings that hold a given gram
 AROUND = LENGTH + SPAN - 1
-BLOCK = 512
+#: Texts of a block; a text of more bytes than LONG is a block of its own. Bytes are read SEGMENT by SEGMENT.
+BLOCK, LONG, SEGMENT = 512, 65_536, 1_000_000
+#: The strings around an anchor that more blocks hold are settled one by one.
+HOT = 64
 #: Bytes of ranks a bucket of round one holds, and of surroundings in round two, about.
 BUCKET = 4_000_000
 BROADCAST_ROWS = 200_000
@@ -57,35 +60,46 @@ def _slide(v: np.ndarray, w: int, op) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a run of texts: their places, documents and ranks (hashes of 24 bytes)."""
+    """Anchors of a run of texts: their places, documents, ranks (hashes of 24 bytes), and what surrounds them. Memory grows with their number, not with the bytes: those are read in segments."""
 
     def __init__(self, t: tokens.Texts) -> None:
-        n = len(t.data)
-        self.t, self.prefix = t, tokens.prefix_hash(t.data)
-        size = np.diff(t.offsets)
-        self.doc_of = np.repeat(np.arange(len(t)), size)
-        if n < LENGTH:
-            self.at = np.zeros(0, np.int64)
+        self.t = t
+        parts = [self._segment(t, lo, min(lo + SEGMENT, len(t.data))) for lo in range(0, len(t.data), SEGMENT)] or [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        self.at, self.rank, self.doc, self.full = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        self.lo = np.minimum(SPAN - 1, self.at - t.offsets[self.doc])
+        self.hi = np.minimum(LENGTH, t.offsets[self.doc + 1] - self.at)
+
+    @staticmethod
+    def _segment(t: tokens.Texts, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Anchors at places from lo to hi, found from the bytes of all strings that can hold them."""
+        a, z = max(0, lo - (SPAN - 1)), min(len(t.data), hi + LENGTH)
+        first = np.searchsorted(t.offsets, a, side="right") - 1
+        offsets = np.clip(t.offsets[first : np.searchsorted(t.offsets, z) + 1], a, z) - a
+        stop = np.repeat(offsets[1:], np.diff(offsets))
+        prefix = tokens.prefix_hash(t.data[a:z])
+        if z - a < LENGTH:
+            at, v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         else:
-            i = np.arange(n - GRAM + 1)
-            v = tokens.span_hash(self.prefix, i, i + GRAM)
-            stop = t.offsets[1:][self.doc_of]
+            i = np.arange(z - a - GRAM + 1)
+            v = tokens.span_hash(prefix, i, i + GRAM)
             v[i + GRAM > stop[: len(i)]] = _NONE
             least = _slide(v, SPAN, np.minimum)
-            s = np.arange(len(least))
-            least[s + LENGTH > stop[: len(s)]] = 0
+            least[np.arange(LENGTH, LENGTH + len(least)) > stop[: len(least)]] = 0
             padded = np.zeros(len(v) + SPAN - 1, np.uint64)
             padded[SPAN - 1 : SPAN - 1 + len(least)] = least
-            self.at = np.flatnonzero(_slide(padded, SPAN, np.maximum) == v)
+            at = np.flatnonzero(_slide(padded, SPAN, np.maximum) == v)
             # A place past the last string of its document has no string of its own.
-            self.at = self.at[v[self.at] != _NONE]
-        self.rank = tokens.span_hash(self.prefix, self.at, self.at + GRAM)
-        self.doc = self.doc_of[self.at] if len(self.at) else np.zeros(0, np.int64)
+            at = at[(v[at] != _NONE) & (at >= lo - a) & (at < hi - a)]
+        rank = v[at]
+        doc = np.searchsorted(t.offsets, at + a, side="right") - 1
+        before, after = np.minimum(SPAN - 1, at + a - t.offsets[doc]), np.minimum(LENGTH, t.offsets[doc + 1] - at - a)
+        full = tokens.span_hash(prefix, at - before, at + after) * np.uint64(0xC2B2AE3D27D4EB4F) + (before * 64 + after).astype(np.uint64)
+        return at + a, rank, doc, full
 
     def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct ranks in order, their buckets, and for each anchor its rank's place."""
         u, back = np.unique(self.rank, return_inverse=True)
-        return u, ((u >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64), back
+        return u, _bucket(u, buckets), back
 
     def shared_inside(self, u: np.ndarray, back: np.ndarray) -> np.ndarray:
         """Ranks that two documents of this block hold."""
@@ -95,6 +109,10 @@ class Anchors:
         return low < high
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+
 def _block(t: pa.Table) -> tuple[tokens.Texts, np.ndarray, pa.Table]:
     """A block's rows in a fixed order, as one run of texts."""
     t = t.sort_by([("row", "ascending")]).combine_chunks()
@@ -113,30 +131,32 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def _round_one(buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        block: int | None = None
+        common.trim()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
+        def out(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
             a = Anchors(_block(pa.Table.from_batches(held))[0])
             u, bucket, _ = a.keys(buckets)
             raw = u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             rows = [(b, raw[part].tobytes()) for b, part in _parts(bucket)]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "ranks": pa.array([r[1] for r in rows], pa.binary())})
-            held.clear()
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "ranks": pa.array([r[1] for r in rows], pa.binary())})
 
+        # Long texts are blocks of their own and stand among the rows of others.
+        held: dict[int, list[pa.RecordBatch]] = {}
         for b in batches:
             blocks = b.column("block").to_numpy()
             cuts = np.flatnonzero(np.diff(blocks)) + 1
             for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(blocks)]])):
                 if hi == lo:
                     continue
-                if block is not None and blocks[lo] != block:
-                    yield from out()
                 block = int(blocks[lo])
-                held.append(b.slice(int(lo), int(hi - lo)))
-        yield from out()
+                if block >= 0:
+                    for done in [k for k in held if k != block]:
+                        yield out(done, held.pop(done))
+                    held.setdefault(block, []).append(b.slice(int(lo), int(hi - lo)))
+                else:
+                    yield out(block, [b.slice(int(lo), int(hi - lo))])
+        for block in list(held):
+            yield out(block, held.pop(block))
 
     return emit
 
@@ -147,39 +167,61 @@ def _low48(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _answer_one(key: tuple, group: pa.Table) -> pa.Table:
-    """One bucket of round one: for each block, a bit for each of its ranks."""
-    group = group.sort_by("block")
-    ranks = [_low48(x) for x in group["ranks"].to_pylist()]
-    # One sort for all blocks: equal ranks stand side by side.
-    every = np.concatenate(ranks)
-    by = np.argsort(every)
-    same = every[by][1:] == every[by][:-1]
-    twice = np.zeros(len(every), bool)
-    twice[by[1:][same]] = twice[by[:-1][same]] = True
-    bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(r) for r in ranks])[:-1])]
-    return pa.table({"block": group["block"], "kind": pa.array([1] * len(bits), pa.int32()), "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
+def _answer_one(hot: int):
+    """One bucket of round one: for each block, two bits for each of its ranks: another block has it, and more than ``hot`` blocks do."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        ranks = [_low48(x) for x in group["ranks"].to_pylist()]
+        # One sort for all blocks: equal ranks stand side by side.
+        every = np.concatenate(ranks)
+        by = np.argsort(every)
+        head = np.flatnonzero(np.concatenate([[True], every[by][1:] != every[by][:-1]])) if len(by) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(by)))
+        blocks = np.empty(len(by), np.int64)
+        blocks[by] = np.repeat(size, size)
+        cuts = np.cumsum([len(r) for r in ranks])[:-1]
+        bits = [np.packbits(np.concatenate([x > 1, x > hot])).tobytes() for x in np.split(blocks, cuts)]
+        return pa.table({"block": group["block"], "kind": pa.array([1] * len(bits), pa.int32()), "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
+
+    return run
+
+
+def windows(around: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(j, surroundings that hold a whole string from their j-th byte on, its hash), for each j."""
+    prefix = np.zeros((len(around), AROUND + 1), np.uint64)
+    np.cumsum(tokens._VALUES[around] * tokens.powers(AROUND + 1)[0][:AROUND], axis=1, dtype=np.uint64, out=prefix[:, 1:])
+    for j in range(SPAN):
+        ok = np.flatnonzero((j >= SPAN - 1 - lo) & (j + LENGTH <= SPAN - 1 + hi))
+        if len(ok):
+            yield j, ok, tokens.mix((prefix[ok, j + LENGTH] - prefix[ok, j]) * tokens.powers(AROUND + 1)[1][j])
 
 
 class Left:
-    """What round one leaves of a block: surroundings of the anchors that are not unique."""
+    """What round one leaves of a block: anchors that are not unique.
+
+    Equal surroundings are settled together. Those of a rank that very many blocks
+    hold would all meet in one bucket; such an anchor's strings go one by one, to
+    the bucket of the string: where a passage begins and ends its surroundings
+    differ from document to document, its strings don't.
+    """
 
     def __init__(self, t: tokens.Texts, order: np.ndarray, bits: dict[int, bytes], buckets: int, buckets2: int) -> None:
         a = Anchors(t)
         u, bucket, back = a.keys(buckets)
-        keep = a.shared_inside(u, back)
+        keep, hot = a.shared_inside(u, back), np.zeros(len(u), bool)
         for b, part in _parts(bucket):
             n = part.stop - part.start
-            keep[part] |= np.unpackbits(np.frombuffer(bits[b], np.uint8), count=n).astype(bool)
-        pick = np.flatnonzero(keep[back])
-        self.at, self.doc = a.at[pick], a.doc[pick]
-        self.lo = np.minimum(SPAN - 1, self.at - t.offsets[self.doc])
-        self.hi = np.minimum(LENGTH, t.offsets[self.doc + 1] - self.at)
-        full = tokens.span_hash(a.prefix, self.at - self.lo, self.at + self.hi) * np.uint64(0xC2B2AE3D27D4EB4F) + (self.lo * 64 + self.hi).astype(np.uint64)
-        rank = a.rank[pick]
+            got = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=2 * n).astype(bool)
+            keep[part] |= got[:n]
+            hot[part] = got[n:]
+        self.t, self.block_order = t, order
+        pick = np.flatnonzero((keep & ~hot)[back])
+        self.at, self.doc, self.lo, self.hi = a.at[pick], a.doc[pick], a.lo[pick], a.hi[pick]
+        full, rank = a.full[pick], a.rank[pick]
         self.order = order[self.doc]
         # Distinct surroundings, by bucket of their rank; the first of each has the smallest document.
-        where = ((rank >> np.uint64(40)) * np.uint64(buckets2) >> np.uint64(24)).astype(np.int64)
+        where = _bucket(rank, buckets2)
         by = np.lexsort((self.at, self.order, full, rank, where))
         new = np.ones(len(by), bool)
         new[1:] = (full[by][1:] != full[by][:-1]) | (rank[by][1:] != rank[by][:-1])
@@ -187,6 +229,32 @@ class Left:
         self.of = np.empty(len(by), np.int64)
         self.of[by] = np.cumsum(new) - 1
         self.rank, self.bucket = rank[self.first], where[self.first]
+        self._hot(a, np.flatnonzero(hot[back]), buckets2)
+
+    def around(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        place = (at - (SPAN - 1))[:, None] + np.arange(AROUND)
+        inside = (np.arange(AROUND) >= (SPAN - 1 - lo)[:, None]) & (np.arange(AROUND) < (SPAN - 1 + hi)[:, None])
+        return np.where(inside, self.t.data[np.clip(place, 0, max(0, len(self.t.data) - 1))], 0).astype(np.uint8) if len(at) else np.zeros((0, AROUND), np.uint8)
+
+    def _hot(self, a: Anchors, pick: np.ndarray, buckets2: int) -> None:
+        start, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for k in range(0, len(pick), 20_000):
+            p = pick[k : k + 20_000]
+            for j, ok, hashes in windows(self.around(a.at[p], a.lo[p], a.hi[p]), a.lo[p], a.hi[p]):
+                start.append(a.at[p][ok] - (SPAN - 1) + j)
+                h.append(hashes)
+        # A string may stand around several anchors.
+        self.hot_start, one = np.unique(np.concatenate(start), return_index=True)
+        h = np.concatenate(h)[one]
+        self.hot_order = self.block_order[np.searchsorted(self.t.offsets, self.hot_start, side="right") - 1]
+        where = _bucket(h, buckets2)
+        by = np.lexsort((self.hot_order, h, where))
+        new = np.ones(len(by), bool)
+        new[1:] = h[by][1:] != h[by][:-1]
+        first = by[new]
+        self.hot_of = np.empty(len(by), np.int64)
+        self.hot_of[by] = np.cumsum(new) - 1
+        self.hot, self.hot_bucket, self.hot_least = h[first], where[first], self.hot_order[first]
 
 
 def _round_two(buckets: int, buckets2: int):
@@ -197,11 +265,11 @@ def _round_two(buckets: int, buckets2: int):
             left = Left(t, order, dict(zip(info["bucket"].to_pylist(), info["bits"].to_pylist())), buckets, buckets2)
             f = left.first
             lo, hi = left.lo[f], left.hi[f]
-            place = (left.at[f] - (SPAN - 1))[:, None] + np.arange(AROUND)
-            inside = (np.arange(AROUND) >= (SPAN - 1 - lo)[:, None]) & (np.arange(AROUND) < (SPAN - 1 + hi)[:, None])
-            around = np.where(inside, t.data[np.clip(place, 0, max(0, len(t.data) - 1))], 0).astype(np.uint8) if len(f) else np.zeros((0, AROUND), np.uint8)
+            around = left.around(left.at[f], lo, hi)
             for b, part in _parts(left.bucket):
                 rows.append((b, left.rank[part].astype("<u8").tobytes(), around[part].tobytes(), lo[part].astype(np.uint8).tobytes(), hi[part].astype(np.uint8).tobytes(), left.order[f[part]].astype("<i8").tobytes()))
+            for b, part in _parts(left.hot_bucket):
+                rows.append((b, left.hot[part].astype("<u8").tobytes(), None, None, None, left.hot_least[part].astype("<i8").tobytes()))
         kinds = [pa.int32()] + [pa.binary()] * 5
         out = {k: pa.array([r[i] for r in rows], kinds[i]) for i, k in enumerate(("bucket", "ranks", "around", "lo", "hi", "orders"))}
         return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int64()), **out})
@@ -209,43 +277,56 @@ def _round_two(buckets: int, buckets2: int):
     return run
 
 
+def _smaller(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Entries whose hash some entry with a smaller order has."""
+    by = np.lexsort((order, h))
+    heads = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(by) else np.zeros(0, np.int64)
+    out = np.empty(len(by), bool)
+    out[by] = np.repeat(order[by[heads]], np.diff(np.append(heads, len(by)))) < order[by]
+    return out
+
+
 def _answer_two(key: tuple, group: pa.Table) -> pa.Table:
-    """One bucket of round two: for each block, 27 bits for each of its surroundings."""
+    """One bucket of round two: for each block, 27 bits for each of its surroundings (kind 2), and one for each single string (kind 3)."""
     group = group.sort_by("block")
-    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group[name].to_pylist()])
-    rank, lo, hi, order = get("ranks", "<u8"), get("lo", np.uint8).astype(np.int64), get("hi", np.uint8).astype(np.int64), get("orders", "<i8")
-    around = get("around", np.uint8).reshape(-1, AROUND)
-    bits = np.zeros(len(rank), np.int32)
-    _, same, many = np.unique(rank, return_inverse=True, return_counts=True)
-    live = np.flatnonzero(many[same] > 1)
-    if len(live):
-        prefix = np.zeros((len(live), AROUND + 1), np.uint64)
-        np.cumsum(tokens._VALUES[around[live]] * tokens.powers(AROUND + 1)[0][:AROUND], axis=1, dtype=np.uint64, out=prefix[:, 1:])
-        for j in range(SPAN):
-            ok = np.flatnonzero((j >= SPAN - 1 - lo[live]) & (j + LENGTH <= SPAN - 1 + hi[live]))
-            if len(ok) < 2:
-                continue
-            h = tokens.mix(((prefix[ok, j + LENGTH] - prefix[ok, j]) * tokens.powers(AROUND + 1)[1][j]) ^ tokens.mix(rank[live[ok]]))
-            by = np.lexsort((order[live[ok]], h))
-            heads = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
-            least = np.repeat(order[live[ok[by[heads]]]], np.diff(np.append(heads, len(by))))
-            bits[live[ok[by]]] |= (least < order[live[ok[by]]]).astype(np.int32) << j
-    cuts = np.cumsum([len(x) // 8 for x in group["ranks"].to_pylist()])[:-1]
-    return pa.table({"block": group["block"], "kind": pa.array([2] * group.num_rows, pa.int32()), "bucket": group["bucket"], "bits": pa.array([x.astype("<i4").tobytes() for x in np.split(bits, cuts)], pa.binary())})
-
-
-def covered(left: Left, bits: np.ndarray, n: int) -> np.ndarray:
+    single = np.array(group["around"].is_null())
+    out: list[tuple] = []
+    for kind, part in ((2, group.filter(pa.array(~single))), (3, group.filter(pa.array(single)))):
+        if not part.num_rows:
+            continue
+        get = lambda name, form: np.concatenate([np.frombuffer(x, form) for x in part[name].to_pylist()])  # noqa: B023, E731
+        rank, order = get("ranks", "<u8"), get("orders", "<i8")
+        if kind == 3:
+            bits = _smaller(rank, order).astype(np.int32)
+        else:
+            lo, hi, around = get("lo", np.uint8).astype(np.int64), get("hi", np.uint8).astype(np.int64), get("around", np.uint8).reshape(-1, AROUND)
+            bits = np.zeros(len(rank), np.int32)
+            _, same, many = np.unique(rank, return_inverse=True, return_counts=True)
+            live = np.flatnonzero(many[same] > 1)
+            for j, ok, h in windows(around[live], lo[live], hi[live]):
+                at = live[ok]
+                bits[at] |= _smaller(tokens.mix(h ^ tokens.mix(rank[at])), order[at]).astype(np.int32) << j
+        cuts = np.cumsum([len(x) // 8 for x in part["ranks"].to_pylist()])[:-1]
+        out += [(b, kind, k, x.astype("<i4").tobytes()) for b, k, x in zip(part["block"].to_pylist(), part["bucket"].to_pylist(), np.split(bits, cuts))]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table({c: pa.array([r[i] for r in out], kinds[i]) for i, c in enumerate(("block", "kind", "bucket", "bits"))})
+
+
+def covered(left: Left, bits: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     """Bytes that a repeated string covers."""
-    edge = np.zeros(n + 1, np.int64)
     # A document after the first of its block with the same surroundings repeats every string of them.
     all_bits = (1 << SPAN) - 1
     own = np.where(left.order > left.order[left.first][left.of], all_bits, bits[left.of]) if len(left.at) else np.zeros(0, np.int64)
+    starts = [left.hot_start[(left.hot_order > left.hot_least[left.hot_of]) | (hot[left.hot_of] > 0)] if len(left.hot_start) else np.zeros(0, np.int64)]
     for j in range(SPAN):
         hit = (own >> j & 1).astype(bool) & (j >= SPAN - 1 - left.lo) & (j + LENGTH <= SPAN - 1 + left.hi)
-        s = left.at[hit] - (SPAN - 1) + j
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+        starts.append(left.at[hit] - (SPAN - 1) + j)
+    gone = np.zeros(n, bool)
+    s = np.unique(np.concatenate(starts))
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(s) > LENGTH])) if len(s) else np.zeros(0, np.int64)
+    for a, z in zip(s[heads].tolist(), s[np.append(heads[1:], len(s)) - 1].tolist() if len(s) else []):
+        gone[a : z + LENGTH] = True
+    return gone
 
 
 def _apply(buckets: int, buckets2: int, names: list[str]):
@@ -253,9 +334,9 @@ def _apply(buckets: int, buckets2: int, names: list[str]):
         t, order, rows = _block(texts)
         got = list(zip(info["kind"].to_pylist(), info["bucket"].to_pylist(), info["bits"].to_pylist()))
         left = Left(t, order, {b: x for k, b, x in got if k == 1}, buckets, buckets2)
-        two = {b: x for k, b, x in got if k == 2}
-        bits = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(two[b], "<i4") for b, _ in _parts(left.bucket)]])
-        gone = covered(left, bits, len(t.data))
+        two, three = ({b: x for k, b, x in got if k == kind} for kind in (2, 3))
+        bits, hot = (np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(found[b], "<i4") for b, _ in _parts(buckets_)]]) for found, buckets_ in ((two, left.bucket), (three, left.hot_bucket)))
+        gone = covered(left, bits, hot, len(t.data))
         inside = np.concatenate([[False], gone, [False]])
         edge = np.zeros(len(t.data) + 1, bool)
         edge[t.offsets] = True
@@ -271,7 +352,7 @@ def _apply(buckets: int, buckets2: int, names: list[str]):
     return run
 
 
-def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool = True, hot: int = HOT) -> DataFrame:
     """Columns ``carry`` of each row, its n_bytes, spans (removed byte ranges) and kept (remaining bytes).
 
     ``scanned``: ``docs`` reads files, so its rows come in the same order each
@@ -284,7 +365,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool =
     names = [f"{t}c{i}" for i in range(len(carry))]
     at = F.monotonically_increasing_id()
     base = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), at.alias("row"))
-    base = base.withColumn("block", F.floor(F.col("row") / BLOCK).cast("long")).withColumn("sha", F.sha2("text", 256))
+    base = base.withColumn("block", F.when(F.length("text") > LONG, -1 - F.col("row")).otherwise(F.floor(F.col("row") / BLOCK)).cast("long")).withColumn("sha", F.sha2("text", 256))
     copies = base.groupBy("sha").agg(F.min("order").alias("least"), F.max("order").alias("most"), F.sum(F.length("text")).alias("n")).where("least < most and n >= 100")
     copies = common.stash(copies.select("sha", "least"), "op7_copies")
     few = copies.count() <= BROADCAST_ROWS
@@ -298,7 +379,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool =
     lined = lined if few else lined.repartition("block").sortWithinPartitions("block", "row")
     sent = lined.mapInArrow(_round_one(buckets), "bucket int, block long, ranks binary")
     info = "block long, kind int, bucket int, bits binary"
-    one = common.stash(sent.groupBy("bucket").applyInArrow(_answer_one, info), "op7_one")
+    one = common.stash(sent.groupBy("bucket").applyInArrow(_answer_one(hot), info), "op7_one")
     buckets2 = max(4, math.ceil(size * 0.02 * 100 / BUCKET))
     texts = rest.select("order", "text", "row", "block").groupBy("block")
     around = texts.cogroup(one.groupBy("block")).applyInArrow(_round_two(buckets, buckets2), "block long, bucket int, ranks binary, around binary, lo binary, hi binary, orders binary")
