@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +21,8 @@ from ..shared import shared_dir
 
 
 
-def _give_memory_back() -> None:
-    """Let this process return what it frees: Python workers are used again by later stages, and what one keeps the next lacks.
-
-    Blocks of a megabyte or more are mapped one by one, and Arrow takes its buffers from the same allocator.
-    """
-    with contextlib.suppress(OSError, AttributeError):  # not glibc
-        libc = ctypes.CDLL(None)
-        for parameter, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
-            libc.mallopt(parameter, value)
-    pa.set_memory_pool(pa.system_memory_pool())
-
-
-_give_memory_back()
+# Arrow takes its buffers from the allocator that ``trim`` empties.
+pa.set_memory_pool(pa.system_memory_pool())
 
 #: Temporary columns carry this prefix, so they cannot clash with a table's own.
 TMP = "__tl_"
@@ -91,11 +81,18 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_TASK: list = [None]
+
+
 def trim() -> None:
-    """Give memory that earlier tasks of this Python worker left behind back to the system."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    """Called by functions that run in Python workers. A worker serves one task after the other: with the first call of a new one, what earlier tasks freed goes back to the system."""
+    task = TaskContext.get()
+    now = task and task.taskAttemptId()
+    if now is None or now != _TASK[0]:
+        _TASK[0] = now
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not glibc
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_rows(batches: Iterable[pa.RecordBatch], step: int = 2000) -> Iterator[pa.RecordBatch]:

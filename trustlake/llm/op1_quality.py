@@ -156,6 +156,7 @@ def scorer(model: Model | None):
     """An Arrow UDF text -> score."""
 
     def score(text: pa.Array) -> pa.Array:
+        common.trim()
         out = [np.zeros(0)]
         for t in tokens.chunks(text):
             out.append(np.full(len(t), 0.5) if model is None else model.score(*encode(t)))

@@ -170,6 +170,7 @@ def _show(words: int, percent: int, buckets: int):
 
 def _shared(key: tuple, group: pa.Table) -> pa.Table:
     """One bucket: how many of the tokens that a node shows there another node shows too."""
+    common.trim()
     t, n = _wide(group["tokens"].to_pylist()), _wide(group["nodes"].to_pylist())
     by = np.lexsort((n, t))
     t, n = t[by], n[by]
@@ -226,6 +227,7 @@ def _levels(parts: int):
     """One bucket: the tokens that two nodes or more hold, with their level (2048 times the logarithm of the frequency), back to the nodes."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.trim()
         node = np.repeat(_numbers(group["ids"], "<i8"), _numbers(group["sizes"], "<u4"))
         t = _numbers(group["tokens"], "<u8")
         u, back, c = np.unique(t, return_inverse=True, return_counts=True)
@@ -245,6 +247,7 @@ def _arrange(percent: int):
     """Nodes that enough others meet: (id, n, most frequent token, mean level, shown tokens that others hold)."""
 
     def run(key: tuple, nodes: pa.Table, found: pa.Table) -> pa.Table:
+        common.trim()
         node, t, level = _numbers(found["ids"], "<i8"), _numbers(found["tokens"], "<u8"), _numbers(found["levels"], "<u2")
         by = np.lexsort((t, level, node))
         node, t, level = node[by], t[by], level[by]
@@ -285,6 +288,7 @@ def _star(percent: int):
     """Blocks: each member gets the component of the leader that it links with, the leader of all blocks first."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.trim()
         group = group.sort_by([("top", "ascending"), ("block", "ascending"), ("leads", "descending"), ("weight", "descending"), ("id", "ascending")])
         top, block, ids, leads = (group[c].to_numpy() for c in ("top", "block", "id", "leads"))
         raw = group["tokens"].to_pylist()
@@ -318,6 +322,7 @@ def _open(percent: int):
     """Queries against the members of an opened group: the components that link with theirs."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.trim()
         group = group.sort_by([("grp", "ascending"), ("mpart", "ascending"), ("qpart", "ascending"), ("asks", "ascending"), ("id", "ascending")])
         grp, mpart, qpart, asks, ids, comp = (group[c].to_numpy() for c in ("grp", "mpart", "qpart", "asks", "id", "comp"))
         raw, found = group["tokens"].to_pylist(), set()

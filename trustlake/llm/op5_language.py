@@ -74,6 +74,7 @@ def loglik(v: Vocabulary, words: list[str], table: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word) counts of a task; handed on whenever a million have gathered, so memory is bounded."""
+    common.trim()
     parts: dict[str, list] = {}
     held = 0
 
@@ -101,6 +102,7 @@ def _expect(path: str, langs: list[str], table: np.ndarray):
     """E step over (lang, word, n) rows: expected uses of each (language, piece), summed within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         v, index = vocabulary(path), {x: i for i, x in enumerate(langs)}
         total = np.zeros((len(langs), len(v.pieces)))
         for b in common.arrow_rows(batches, 3000):
@@ -147,7 +149,8 @@ def fit(docs: DataFrame, vocab_path: str, iterations: int = 1) -> dict:
 class Scorer:
     """Scores texts with a fitted model; one per Python worker, with a bounded cache of word scores."""
 
-    MOST = 600_000
+    #: Scores held, 8 bytes each.
+    MOST = 2_400_000
 
     def __init__(self, model: dict) -> None:
         self.m, self.v = model, vocabulary(model["path"])
@@ -159,7 +162,7 @@ class Scorer:
         if not m["langs"]:
             return ["und"] * len(t), np.zeros(len(t))
         u, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > self.MOST:
+        if (len(self.known) + len(u)) * len(m["langs"]) > self.MOST:
             self.known, self.scores = self.known[:0], self.scores[:0]
         fresh = np.flatnonzero(~np.isin(u, self.known, assume_unique=True))
         if len(fresh):
@@ -182,6 +185,7 @@ def predictor(model: dict):
     held: list[Scorer] = []
 
     def predict(text: pa.Array) -> pa.Array:
+        common.trim()
         if not held:
             held.append(Scorer(model))
         out: list[pa.Array] = []

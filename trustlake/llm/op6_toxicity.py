@@ -228,6 +228,7 @@ def scorer(model: dict):
     held: list[Lexicon] = []
 
     def score(text: pa.Array) -> pa.Array:
+        common.trim()
         if not held:
             held.append(Lexicon(model["stems"]))
         out = [np.zeros(0)]

@@ -171,6 +171,7 @@ def _answer_one(hot: int):
     """One bucket of round one: for each block, two bits for each of its ranks: another block has it, and more than ``hot`` blocks do."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.trim()
         group = group.sort_by("block")
         ranks = [_low48(x) for x in group["ranks"].to_pylist()]
         # One sort for all blocks: equal ranks stand side by side.
@@ -259,6 +260,7 @@ class Left:
 
 def _round_two(buckets: int, buckets2: int):
     def run(key: tuple, texts: pa.Table, info: pa.Table) -> pa.Table:
+        common.trim()
         rows: list[tuple] = []
         if texts.num_rows:
             t, order, _ = _block(texts)
@@ -288,6 +290,7 @@ def _smaller(h: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _answer_two(key: tuple, group: pa.Table) -> pa.Table:
     """One bucket of round two: for each block, 27 bits for each of its surroundings (kind 2), and one for each single string (kind 3)."""
+    common.trim()
     group = group.sort_by("block")
     single = np.array(group["around"].is_null())
     out: list[tuple] = []
@@ -331,6 +334,7 @@ def covered(left: Left, bits: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray
 
 def _apply(buckets: int, buckets2: int, names: list[str]):
     def run(key: tuple, texts: pa.Table, info: pa.Table) -> pa.Table:
+        common.trim()
         t, order, rows = _block(texts)
         got = list(zip(info["kind"].to_pylist(), info["bucket"].to_pylist(), info["bits"].to_pylist()))
         left = Left(t, order, {b: x for k, b, x in got if k == 1}, buckets, buckets2)
