@@ -7,8 +7,6 @@ the lake and as a pattern over the *published* files; the two never share a plan
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..sources.lake import Reader
+from ..sources.publish import PublishTarget, publish_bytes, read_bytes
 from .checks import Evidence, Verdict, multiset_difference
 
 
@@ -110,12 +110,20 @@ class Graph:
         return self.edges(rel).agg(F.sum(prop).alias(prop))
 
     def reach(self, rel: str, start: DataFrame, max_hops: int) -> DataFrame:
-        """(node, hops): nodes within so many hops of ``start`` (node), with the fewest hops. Each hop joins the frontier alone."""
-        frontier = seen = start.select("node").distinct().withColumn("hops", F.lit(0))
+        """(node, hops): nodes within so many hops of ``start`` (node), with the fewest hops.
+
+        Each hop joins the frontier alone; what a hop has found is checkpointed, so that the next one doesn't find it again.
+        """
+        spark = start.sparkSession
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(shared_dir(spark))
         e = self.edges(rel).select("from", "to").distinct()
+        frontier = seen = start.select("node").distinct().withColumn("hops", F.lit(0))
         for k in range(1, max_hops + 1):
             step = frontier.join(e, F.col("node") == F.col("from")).select(F.col("to").alias("node")).distinct()
             frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k))
+            if k < max_hops:
+                frontier = frontier.checkpoint()
             seen = seen.unionByName(frontier)
         return seen
 
@@ -166,28 +174,39 @@ def parity(spec: GraphSpec, reader: Reader, path: str) -> list[Evidence]:
     return out
 
 
+def _plain(path: str) -> str:
+    return path.removeprefix("file://").rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def publish(spec: GraphSpec, reader: Reader, graph_dir: str) -> dict:
-    """Build aside, compare, rename, then move the pointer. On any failure the old pointer stays and nothing is left behind."""
-    tmp = f"{graph_dir}/.tmp-{uuid.uuid4().hex}"
-    final = f"{graph_dir}/{spec.name}-{reader.snapshot}-{uuid.uuid4().hex[:8]}"
+    """Build in a folder of its own, compare, then move the pointer to it: what no pointer names isn't published, so nothing is renamed.
+
+    ``graph_dir`` is a local folder or a URI that Hadoop's file systems know. On any failure the old pointer stays and the new folder goes.
+    """
+    spark, root = reader.spark, _plain(graph_dir)
+    path = f"{root}/{spec.name}-{reader.snapshot}-{uuid.uuid4().hex[:8]}"
     try:
-        build(spec, reader, tmp)
-        evidence = parity(spec, reader, tmp)
+        build(spec, reader, path)
+        evidence = parity(spec, reader, path)
         if any(e.verdict is not Verdict.PASS for e in evidence):
             raise ParityError(evidence)
-        shutil.rmtree(f"{tmp}/canaries", ignore_errors=True)
-        os.replace(tmp, final)
-    finally:
-        shutil.rmtree(tmp, ignore_errors=True)
-    meta = {**describe(spec), "path": final, **reader.provenance(), "evidence": [e.to_dict() for e in evidence]}
-    pointer = f"{graph_dir}/{spec.name}.current.json"
-    with open(f"{pointer}.tmp", "w") as f:
-        json.dump(meta, f, default=str)
-    os.replace(f"{pointer}.tmp", pointer)
+        _delete(spark, f"{path}/canaries")
+        meta = {**describe(spec), "path": path, **reader.provenance(), "evidence": [e.to_dict() for e in evidence]}
+        publish_bytes(PublishTarget(root, spark), f"{spec.name}.current.json", json.dumps(meta, default=str).encode(), overwrite=True)
+    except BaseException:
+        _delete(spark, path)
+        raise
     return meta
 
 
 def open_current(spark: SparkSession, graph_dir: str, name: str) -> tuple[Graph, dict]:
-    with open(f"{graph_dir}/{name}.current.json") as f:
-        meta = json.load(f)
+    raw = read_bytes(PublishTarget(_plain(graph_dir), spark), f"{name}.current.json")
+    if raw is None:
+        raise FileNotFoundError(f"no graph {name} in {graph_dir}")
+    meta = json.loads(raw)
     return open_at(spark, meta, meta["path"]), meta

@@ -46,6 +46,11 @@ def _read(target: PublishTarget, path: str) -> bytes | None:
     return bytes(target.spark.sparkContext.binaryFiles(path).first()[1]) if fs.exists(p) else None
 
 
+def read_bytes(target: PublishTarget, key: str) -> bytes | None:
+    """What stands under a key, or None."""
+    return _read(target, target.key(key))
+
+
 def _write(target: PublishTarget, path: str, data: bytes, overwrite: bool) -> None:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
