@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,8 +29,21 @@ pa.set_memory_pool(pa.system_memory_pool())
 TMP = "__tl_"
 
 
+#: Rows and bytes of a batch between Spark and Python, at most. Texts are long: Spark's 10,000 rows are held several times over, on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with small Arrow batches (a smaller setting of its own stays)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", str(spark.conf.get(key, "0")))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(key: str, k: int) -> Column:
