@@ -30,7 +30,7 @@ def _stage(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(docs, _HELPERS)
-        common.trim()
+        common.bounded(spark)
         common.NOTED.append(_HELPERS)
         try:
             return function(spark, docs, sf_dir)
