@@ -36,8 +36,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
 def bounded(spark: SparkSession) -> SparkSession:
     """The session with small Arrow batches (a smaller setting of its own stays)."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.match(r"-?\d+", str(spark.conf.get(key, "0")))
-        if not now or not 0 < int(now[0]) <= most:
+        now = re.fullmatch(r"(\d+)([kmg]?)b?", str(spark.conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[2]] <= most:
             spark.conf.set(key, str(most))
     return spark
 
