@@ -125,25 +125,70 @@ def test_quality_learns(spark):
     assert got and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 0) for r in got)
 
 
+def _plain_marks(clause):
+    """What the grammar should find, word by word."""
+    g, out = op6_toxicity, []
+    for i, k in enumerate(clause):
+        if k in (g.INSULT, g.THREAT):
+            marks = [
+                ("reported", g.REPORT in clause[:i]), ("negated", g.NEGATION in clause[max(0, i - g.SCOPE) : i]),
+                ("aimed", g.TARGET in clause[max(0, i - g.REACH) : i] or g.TARGET in clause[i + 1 : i + 1 + g.REACH]), ("again", k in clause[:i]),
+            ]
+            out.append(" ".join(["insult" if k == g.INSULT else "threat", *[m for m, on in marks if on]]))
+    return out
+
+
 def test_grammar():
     g = op6_toxicity
-    I, T, O, N, R = g.INSULT, g.TARGET, g.OTHER, g.NEGATION, g.REPORT
-    assert g.matches([T, O, I]) == ["insult aimed"]
-    assert g.matches([T, O, O, O, O, O, I]) == ["insult"]
-    assert g.matches([N, O, I]) == ["insult negated"] and g.matches([N, O, O, O, I]) == ["insult"]
-    assert g.matches([R, T, I, I]) == ["insult reported"] * 2
-    assert g.matches([O, T]) == []
+    rng = random.Random(5)
+    for _ in range(2000):
+        clause = [rng.choice([g.OTHER, g.OTHER, g.INSULT, g.THREAT, g.TARGET, g.NEGATION, g.REPORT]) for _ in range(rng.randrange(12))]
+        assert g.matches(clause) == _plain_marks(clause)
+        symbols = [k << len(g.MARKS) for k in clause]
+        one_by_one = symbols
+        for transducer in (g.TARGETS, g.NEGATIONS, g.REPORTS, g.INSULTS, g.THREATS):
+            one_by_one = transducer(one_by_one)
+        assert g.GRAMMAR(symbols) == one_by_one
+    assert len(g.GRAMMAR.step) == (g.REACH + 1) * (g.SCOPE + 1) * 8
     lexicon = g.Lexicon(["vequ"])
     (t,) = tokens.chunks(pa.array(["You are an idiot. Vequmo! he said you idiot", "fine", None], pa.string()))
     got = g.counts(t, lexicon)
-    assert dict(zip(g.KINDS, got[0].tolist()))["insult aimed"] == 1 and dict(zip(g.KINDS, got[0].tolist()))["insult"] == 1 and dict(zip(g.KINDS, got[0].tolist()))["insult reported"] == 1
+    assert {k: n for k, n in zip(g.KINDS, got[0].tolist()) if n} == {"insult aimed": 1, "insult": 1, "insult reported aimed": 1}
     assert not got[1:].any()
 
 
-def test_stems_are_learned():
+def test_toxicity_scores_follow_from_matches(spark):
+    """The query's scores, recomputed plainly: words by a regular expression, marks word by word, the fitted weights."""
+    import re
+
+    g, rng = op6_toxicity, random.Random(6)
+    filler = ["river", "stone", "Maybe", "idiots", "été", "und", "you", "not", "said", "kill", "moron"]
+    rows = []
+    for i in range(300):
+        words = [rng.choice(filler[:6] if i % 3 else filler) for _ in range(rng.randrange(40))] + (["you", f"blarg{rng.choice('abcd')}"] if i % 3 == 0 else [])
+        rows.append((i, "".join(w + rng.choice([" ", " ", ", ", ". ", "! ", "\n"]) for w in words)))
+    rows += [(400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    m = g.fit(docs, labels)
+    assert "blarg" in m["stems"] and set(g.START) <= set(g.KINDS)
+    known = {w: k for k, words in g.WORDS.items() for w in words.split()}
+    got = {r["doc_id"]: r["score"] for r in g.classify(docs, labels).collect()}
+    for i, text in rows:
+        n = collections.Counter()
+        for clause in re.split(r"[.!?;\n]", text or ""):
+            words = [w.lower() for w in re.findall(r"[A-Za-z'\u0080-\U0010ffff]+", clause)]
+            n.update(_plain_marks([g.INSULT if any(w.startswith(s) for s in m["stems"]) else known.get(w, g.OTHER) for w in words]))
+        z = m["bias"] + sum(math.log1p(k) * m["weights"][g.KINDS.index(name)] for name, k in n.items())
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), abs_tol=1e-6)
+    held = [i for i in range(300) if fold(i, 5) == 0]
+    assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in held) >= 0.9 * len(held)
+
+
+def test_stems_are_learned(spark):
     rng = random.Random(1)
     rows = [(" ".join([rng.choice(["ab", "cd", "velo", "vero"]) for _ in range(9)] + ([f"zork{rng.choice('abcdef')}{rng.choice('ghij')}"] if i % 2 else [])), i % 2) for i in range(200)]
-    assert op6_toxicity.learn_stems(rows) == ["zork"]
+    assert op6_toxicity.learn_stems(spark.createDataFrame(rows, "text string, y int")) == ["zork"]
 
 
 # -- 2

@@ -2,21 +2,30 @@
 
 Words are read by a lexical transducer into six symbols: insult, threat, target,
 negation, report and other. Clauses (cut at . ! ? ; and line feeds) of symbols are
-read by the composition of five small transducers, which pass through the symbol
-stream and put marks on matches: an insult or threat is *aimed* when a target
-stands in its clause within reach, *negated* when a negation stands shortly
-before it, *reported* when a verb of saying opens the clause before it. Each
-marked match has a weight; a document's score is the logistic of their sum (each
-kind of match counted with log(1 + n)).
+read by transducers given as tables, states x symbols. A symbol carries marks, and
+each transducer passes symbols on, adding its mark to insults and threats:
+
+* *target* (run in both directions): "aimed", a target stands within reach;
+* *negation*: "negated", a negation stands shortly before;
+* *report*: "reported", a verb of saying stands before it in the clause;
+* *insult* and *threat*: "again", the clause had one before.
+
+The transducers that read forwards are composed into one table, as products of
+their states. The composed automaton is weighted: an arc that reads an insult or
+threat has the weight of what it puts out, the symbol with its marks, learned
+from the labels. A document's score is the logistic of the weights of its matches
+(each kind counted with log(1 + n)).
 
 Insult words are entries fixed below and stems learned from labels: a stem is
 the longest start shared by words that stand in toxic training documents and
 hardly in others. Weights are learned from the same rows, with ridge pull
-towards fixed starting weights. At most ``labelled.PER_CLASS`` rows of each class
-are used to fit; scoring reads every clause of every text.
+towards starting weights. At most ``labelled.PER_CLASS`` rows of each class are
+used to fit; their words are counted and their clauses read on executors, so the
+driver gets frequent starts of words and a row of counts for each document, however
+long texts are. Scoring reads every clause of every text.
 
 Cases. Null and empty texts match nothing and get the score of no match. With
-labels of one class or none the fixed weights are used. Repeated rows get equal
+labels of one class or none the starting weights are used. Repeated rows get equal
 scores. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -24,6 +33,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +53,11 @@ WORDS = {
     NEGATION: "not no never nobody isn't aren't don't doesn't won't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún tampoco",
     REPORT: "said says say told tells called wrote claimed reported quoted sagt sagte sagten schrieb behauptete dit disait écrit affirme dijo dice dijeron escribió afirmó",
 }
-#: Kinds of match and their starting weights; the marks add up in the order aimed, negated, reported.
+#: Marks, and the starting weights of what is put out: of marks that meet, the first in this list decides.
+MARKS = ("reported", "negated", "aimed", "again")
 START = {"insult": 2.0, "insult aimed": 2.5, "insult negated": 0.5, "insult reported": 0.8, "threat": 0.3, "threat aimed": 1.5, "threat negated": 0.0, "threat reported": 0.2}
 BIAS = -2.5
-REACH = 4
+REACH, SCOPE = 4, 3
 #: Stems have this many characters, and this share and number of toxic documents among those that hold them.
 STEM, PURE, SEEN = (4, 10), 0.97, 5
 
@@ -85,44 +97,78 @@ CLAUSE_END = np.zeros(256, bool)
 CLAUSE_END[list(b".!?;\n")] = True
 
 
-# Transducers. Each maps a list of (symbol, marks) to another, symbol by symbol, with a small state.
-def _aim(clause: list[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
-    targets = [i for i, (s, _) in enumerate(clause) if s == TARGET]
-    return [(s, (*m, "aimed") if s in (INSULT, THREAT) and any(abs(i - j) <= REACH for j in targets) else m) for i, (s, m) in enumerate(clause)]
+@dataclass(frozen=True)
+class Transducer:
+    """``step[state, symbol]``: the next state; ``out[state, symbol]``: the symbol put out. A symbol is a number: kind times 16, and a bit for each mark. State 0 is the first."""
 
+    step: np.ndarray
+    out: np.ndarray
 
-def _negate(clause: list[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
-    out, left = [], 0
-    for s, m in clause:
-        out.append((s, (*m, "negated") if left and s in (INSULT, THREAT) else m))
-        left = 3 if s == NEGATION else max(0, left - 1)
-    return out
+    def __call__(self, symbols: list[int]) -> list[int]:
+        state, out = 0, []
+        for x in symbols:
+            out.append(int(self.out[state, x]))
+            state = int(self.step[state, x])
+        return out
 
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one puts out. States are pairs."""
+        n = len(other.step)
+        pair = np.arange(len(self.step) * n)
+        between = self.out[pair // n]
+        return Transducer(self.step[pair // n] * n + other.step[(pair % n)[:, None], between], other.out[(pair % n)[:, None], between])
+
+
+SYMBOLS = STOP << len(MARKS)
+
+
+def transducer(states: int, step: Callable[[int, int], int], mark: str, active: Callable[[int], bool], on: tuple[int, ...] = (INSULT, THREAT)) -> Transducer:
+    """The table of a transducer that marks ``on`` in its active states. ``step``: state and kind of symbol to the next state."""
+    kind = np.arange(SYMBOLS) >> len(MARKS)
+    table = np.array([[step(q, k) for k in range(STOP)] for q in range(states)])[:, kind]
+    marked = np.array([active(q) for q in range(states)])[:, None] & np.isin(kind, on)[None, :]
+    return Transducer(table, np.where(marked, np.arange(SYMBOLS) | 1 << MARKS.index(mark), np.arange(SYMBOLS)))
+
+
+#: States count the symbols since the last target; the first state is "none within reach".
+TARGETS = transducer(REACH + 1, lambda q, k: 1 if k == TARGET else (q + 1) % (REACH + 1) if q else 0, "aimed", lambda q: q > 0)
+#: States count what is left of a negation's scope.
+NEGATIONS = transducer(SCOPE + 1, lambda q, k: SCOPE if k == NEGATION else max(0, q - 1), "negated", lambda q: q > 0)
+REPORTS = transducer(2, lambda q, k: int(q or k == REPORT), "reported", bool)
+INSULTS = transducer(2, lambda q, k: int(q or k == INSULT), "again", bool, (INSULT,))
+THREATS = transducer(2, lambda q, k: int(q or k == THREAT), "again", bool, (THREAT,))
+#: The grammar: targets that follow are marked by the run backwards, the rest in one run of the composition.
+GRAMMAR = TARGETS.then(NEGATIONS).then(REPORTS).then(INSULTS).then(THREATS)
+
+
+def _name(symbol: int) -> str:
+    marks = [m for b, m in enumerate(MARKS) if symbol >> b & 1]
+    return " ".join(["insult" if symbol >> len(MARKS) == INSULT else "threat", *marks])
 
-def _report(clause: list[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
-    out, open_ = [], False
-    for s, m in clause:
-        out.append((s, (*m, "reported") if open_ and s in (INSULT, THREAT) else m))
-        open_ = open_ or s == REPORT
-    return out
 
+#: What the grammar can put out for an insult or a threat.
+KINDS = [_name(k << len(MARKS) | m) for k in (INSULT, THREAT) for m in range(1 << len(MARKS))]
+_PLACE = {k << len(MARKS) | m: i * (1 << len(MARKS)) + m for i, k in enumerate((INSULT, THREAT)) for m in range(1 << len(MARKS))}
 
-def _finish(clause: list[tuple[int, tuple]]) -> list[str]:
-    """Matched kinds; reported outranks negated, and negated outranks aimed."""
+
+def starting_weights() -> np.ndarray:
+    """Of what a match carries the first mark of MARKS that START knows decides."""
     out = []
-    for s, m in clause:
-        if s in (INSULT, THREAT):
-            mark = next((x for x in ("reported", "negated", "aimed") if x in m), "")
-            out.append(("insult" if s == INSULT else "threat") + (f" {mark}" if mark else ""))
-    return out
+    for name in KINDS:
+        word, *marks = name.split()
+        out.append(next((START[f"{word} {m}"] for m in MARKS if m in marks and f"{word} {m}" in START), START[word]))
+    return np.array(out)
 
 
-def matches(clause: list[int]) -> list[str]:
-    """The grammar: the transducers composed, over the symbols of one clause."""
-    return _finish(_report(_negate(_aim([(s, ()) for s in clause]))))
+def read(clause: list[int]) -> list[int]:
+    """The clause's symbols with their marks."""
+    symbols = [k << len(MARKS) for k in clause]
+    return GRAMMAR(TARGETS(symbols[::-1])[::-1])
 
 
-KINDS = list(START)
+def matches(clause: list[int]) -> list[str]:
+    """What the grammar finds in the symbols of one clause."""
+    return [KINDS[_PLACE[x]] for x in read(clause) if x in _PLACE]
 
 
 def counts(t: tokens.Texts, lexicon: Lexicon) -> np.ndarray:
@@ -144,53 +190,56 @@ def counts(t: tokens.Texts, lexicon: Lexicon) -> np.ndarray:
         lo, hi = lo + np.searchsorted(clause[lo:hi], clause[k]), lo + np.searchsorted(clause[lo:hi], clause[k], side="right")
         key = symbol[lo:hi].tobytes()
         if key not in seen:
-            seen[key] = [KINDS.index(x) for x in matches(symbol[lo:hi].tolist())]
+            seen[key] = [_PLACE[x] for x in read(symbol[lo:hi].tolist()) if x in _PLACE]
         np.add.at(out[d], seen[key], 1)
     return out
 
 
-def learn_stems(rows: list[tuple[str, int]]) -> list[str]:
-    """Stems that stand in toxic training texts and hardly in others.
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(start, y, n): in how many texts of the batch a word begins so, for starts of STEM characters; start '' counts texts."""
+    common.trim()
+    for b in batches:
+        found = [Counter(), Counter()]
+        for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+            words = set(_words(text or ""))
+            found[y].update({w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)} | {""})
+        rows = [(k, y, n) for y in (0, 1) for k, n in found[y].items()]
+        yield pa.RecordBatch.from_pydict({"start": pa.array([r[0] for r in rows], pa.string()), "y": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64())})
+
+
+def learn_stems(rows: DataFrame) -> list[str]:
+    """Stems that stand in toxic texts of ``rows`` (text, y) and hardly in others.
 
-    Starts are counted one length after the other, and only those whose shorter
-    start was frequent but not pure, so one length's counts are held at a time.
+    Starts are counted on executors. Only starts come back that are pure and
+    frequent enough for chance not to find one among all of their length; of those
+    that begin alike the shortest counts, grown as long as (nearly) all go on alike.
     """
-    pool: dict[str, str] = {}
-    held = [([pool.setdefault(w, w) for w in set(_words(text))], y) for text, y in rows]
-    toxic, clean = [w for w, y in held if y], [w for w, y in held if not y]
-    share = len(toxic) / max(1, len(rows))
-    alive: set[str] | None = None
-    found: list[str] = []
-    for n in range(STEM[0], STEM[1] + 1):
-        bad: Counter = Counter()
-        for words in toxic:
-            bad.update({w[:n] for w in words if len(w) >= n and (alive is None or w[: n - 1] in alive)})
-        # So many toxic documents that chance would not find one such start among all.
-        enough = max(SEEN, math.ceil(math.log(100 * max(1, len(bad))) / -math.log(min(max(share, 0.01), 0.9))))
-        often = {s for s, k in bad.items() if k >= SEEN}
-        good: Counter = Counter()
-        for words in clean:
-            good.update({w[:n] for w in words if w[:n] in often})
-        pure = {s for s in often if bad[s] >= enough and bad[s] >= PURE * (bad[s] + good[s])}
-        found += pure
-        alive = often - pure
-        if not alive:
+    n = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all")
+    starts = common.stash(rows.mapInArrow(_starts, "start string, y int, n long").groupBy("start").agg(*n), "op6_starts")
+    total = starts.where("start = ''").first()
+    if not total or not total["bad"]:
+        return []
+    share = min(max(total["bad"] / total["all"], 0.01), 0.9)
+    sizes = starts.where("start <> '' and bad > 0").groupBy(F.char_length("start").alias("length")).agg(F.count("*").alias("kinds"))
+    enough = F.greatest(F.lit(SEEN), F.ceil(F.log(100.0 * F.col("kinds")) / -math.log(share)))
+    # A start in the SEEN-th part of a bounded sample's toxic texts at least: their number is bounded as the sample is, by its distinct words.
+    pure = starts.withColumn("length", F.char_length("start")).join(F.broadcast(sizes), "length").where((F.col("bad") >= enough) & (F.col("bad") >= PURE * F.col("all"))).select("start", "bad")
+    known = {r["start"]: r["bad"] for r in pure.collect()}
+    return sorted({_grown(s, known) for s in known if s[:-1] not in known})
+
+
+def _grown(stem: str, known: dict[str, int]) -> str:
+    """The stem as long as (nearly) all texts that have it have one longer start."""
+    most = known[stem]
+    children: dict[str, list[str]] = {}
+    for s in known:
+        if s.startswith(stem) and len(s) > len(stem):
+            children.setdefault(s[:-1], []).append(s)
+    while stem in children:
+        best = max(children[stem], key=lambda s: (known[s], s))
+        if known[best] < 0.95 * most:
             break
-    return sorted({_grown(s, toxic) for s in found})
-
-
-def _grown(stem: str, toxic: list[list[str]]) -> str:
-    """The stem as long as (nearly) all words that start so go on alike."""
-    words = Counter(w for own in toxic for w in own if w.startswith(stem))
-    total = sum(words.values())
-    while len(stem) < STEM[1]:
-        following = Counter()
-        for w, k in words.items():
-            if w.startswith(stem) and len(w) > len(stem):
-                following[w[len(stem)]] += k
-        if not following or following.most_common(1)[0][1] < 0.95 * total:
-            break
-        stem += following.most_common(1)[0][0]
+        stem = best
     return stem
 
 
@@ -202,20 +251,33 @@ def _words(text: str) -> list[str]:
     return [low[a:b].decode("utf-8", "ignore") for a, b in zip(w.start.tolist(), w.end.tolist())]
 
 
+def _features(stems: list[str]):
+    """Matches of each text by kind, and its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
+        lexicon = Lexicon(stems)
+        for b in batches:
+            y = b.column("y")
+            for t in tokens.chunks(b.column("text")):
+                yield pa.RecordBatch.from_pydict({"x": pa.array([r.tobytes() for r in counts(t, lexicon).astype("<f4")], pa.binary()), "y": y.slice(t.row, len(t))})
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = labelled.PER_CLASS) -> dict:
     rows, sizes = labelled.sample(docs, labels, "toxic", folds, per_class)
-    weights, bias = np.array([START[k] for k in KINDS]), BIAS
+    weights, bias = starting_weights(), BIAS
     if len(sizes) < 2:
         return {"stems": [], "weights": weights, "bias": bias}
-    got = rows.where("text is not null").toArrow()
-    pairs = sorted(zip(got["text"].to_pylist(), got["y"].to_pylist()))
-    stems = learn_stems(sorted(set(pairs)))
-    lexicon = Lexicon(stems)
-    x = np.log1p(np.concatenate([counts(t, lexicon) for t in tokens.chunks(pa.array([p[0] for p in pairs], pa.string()))])) if pairs else np.zeros((0, len(KINDS)))
-    y = np.array([p[1] for p in pairs], float)
-    n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
+    rows = common.stash(rows.where("text is not null").distinct(), "op6_rows")
+    stems = learn_stems(rows)
+    got = rows.mapInArrow(_features(stems), "x binary, y int").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").toArrow()
+    x = np.log1p(np.array([np.frombuffer(r, "<f4") for r in got["x"].to_pylist()], np.float64).reshape(-1, len(KINDS)))
+    y, many = got["y"].to_numpy().astype(float), got["n"].to_numpy().astype(float)
+    n = np.array([max(1, many[y == 0].sum()), max(1, many[y == 1].sum())])
     share = np.array([sizes[0], sizes[1]]) / (sizes[0] + sizes[1])
-    c = (share / n)[y.astype(int)]  # the classes' true shares
+    c = (share / n)[y.astype(int)] * many  # the classes' true shares
     start = weights.copy()
     for _ in range(3000):
         d = (1 / (1 + np.exp(-(x @ weights + bias))) - y) * c
