@@ -314,6 +314,43 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in op5_language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_em_raises_the_likelihood_until_it_settles(spark, monkeypatch):
+    """Rounds of EM against a plain one over all segmentations; each raises the likelihood of the training words."""
+    v = op5_language.vocabulary(op5_language.default_path())
+    words = ["river", "rivers", "stone", "ölö", "\U0001f600x"]
+    units = ["▁" + w for w in words]
+    n = [5, 3, 4, 2, 1]
+    docs = spark.createDataFrame([(" ".join(w for w, k in zip(words[:4], n) for _ in range(k)), "en")], "text string, lang string")
+
+    def ways(unit):
+        if not unit:
+            yield ()
+        for k in range(1, len(unit) + 1):
+            ids = [v.ids[unit[:k]]] if unit[:k] in v.ids else [int(x) for x in v.byte_ids[list(unit[0].encode())]] if k == 1 else None
+            if ids:
+                for rest in ways(unit[k:]):
+                    yield (*ids, *rest)
+
+    p, logs = np.full(len(v.pieces), 1 / len(v.pieces)), []
+    for _ in range(4):
+        use, log = np.full(len(v.pieces), op5_language.SMOOTH), 0.0
+        for unit, k in zip(units[:4], n):
+            found = list(ways(unit))
+            w = np.array([np.prod(p[list(x)]) for x in found])
+            log += k * math.log(w.sum())
+            for x, share in zip(found, w / w.sum()):
+                np.add.at(use, list(x), k * share)
+        p = use / use.sum()
+        logs.append(log)
+    assert logs == sorted(logs)
+    settled = op5_language.fit(docs, op5_language.default_path())["table"][:, 0]
+    assert np.abs(settled - p).max() < 0.01
+    monkeypatch.setattr(op5_language, "SETTLED", 0.0)
+    assert np.allclose(op5_language.fit(docs, op5_language.default_path(), 4)["table"][:, 0], p, rtol=1e-6, atol=1e-12)
+    byte, there = lattice.utf8(np.array([0x41, 0xE9, 0x20AC, 0x1F600, 0xD800]))
+    assert [bytes(b[t].tolist()) for b, t in zip(byte.astype(int), there)] == [chr(c).encode("utf-8", "surrogatepass") for c in (0x41, 0xE9, 0x20AC, 0x1F600, 0xD800)]
+
+
 # -- 7
 def test_repeats(docs, empty):
     smallest = {}

@@ -107,11 +107,22 @@ class Vocabulary:
         lone = np.flatnonzero(piece < 0)
         if len(lone):
             code, back = np.unique(-1 - piece[lone], return_inverse=True)
-            per = np.stack([table[self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]].prod(axis=0) for c in code.tolist()])
-            out[lone] = per[back]
+            byte, there = utf8(code)
+            out[lone] = np.where(there[:, :, None], table[self.byte_ids[byte]], 1.0).prod(axis=1)[back]
         return out
 
 
+def utf8(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of code points (surrogates too), n x 4, and which of them there are."""
+    code = code.astype(np.int64)[:, None]
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    k = np.arange(4)[None, :]
+    shift = np.maximum(6 * (size - 1 - k), 0)
+    first = np.choose(size - 1, [0, 0xC0, 0xE0, 0xF0])
+    byte = np.where(k == 0, first | code >> shift, 0x80 | code >> shift & 0x3F)
+    return byte & 0xFF, k < size
+
+
 def _sweep(n_nodes: int, seed: np.ndarray, src: np.ndarray, dst: np.ndarray, step: np.ndarray, w: np.ndarray) -> np.ndarray:
     alpha = np.zeros((n_nodes, w.shape[1]))
     alpha[seed] = 1.0

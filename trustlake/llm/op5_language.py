@@ -4,7 +4,8 @@ Each language has a distribution over the pieces of a fixed public vocabulary.
 A text's likelihood in a language is the sum over *all* segmentations of its
 words (runs of letters) into pieces (forward algorithm). Distributions are learned by
 expectation maximisation from unit counts: the expected number of times a piece
-is used, over all segmentations of all training units.
+is used, over all segmentations of all training units, again and again until the
+likelihood of the training words settles (``SETTLED``, ``ROUNDS`` at most).
 
 Cases. Null text or text without a letter: language ``und``, score 0. Rows with
 a null ``lang`` teach nothing. With no training rows at all every text is
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .lattice import MAX_UNIT, SPACE, Vocabulary, backward, forward
+from .lattice import MAX_UNIT, SPACE, Vocabulary, backward, forward, utf8
 
 #: Multiplied into an edge for each character it spells, so sums stay near 1.
 SCALE = 300.0
 SMOOTH = 0.1
+#: EM ends when a round gains less than this share of the log likelihood, or after so many rounds.
+SETTLED, ROUNDS = 0.002, 8
 _VOCAB: dict[str, Vocabulary] = {}
 
 
@@ -105,6 +108,7 @@ def _expect(path: str, langs: list[str], table: np.ndarray):
         common.trim()
         v, index = vocabulary(path), {x: i for i, x in enumerate(langs)}
         total = np.zeros((len(langs), len(v.pieces)))
+        log = 0.0
         for b in common.arrow_rows(batches, 3000):
             units, of = cut(b.column("word").to_pylist())
             lang = np.array([index[x] for x in b.column("lang").to_pylist()])[of]
@@ -113,20 +117,25 @@ def _expect(path: str, langs: list[str], table: np.ndarray):
             unit = np.searchsorted(e.first, e.start, side="right") - 1
             w = np.take_along_axis(scaled_weights(v, e, table), lang[unit][:, None], axis=1)
             a, z = forward(e, w), backward(e, w)
-            use = (a[e.start] * w * z[e.end])[:, 0] / np.maximum(a[e.last][:, 0], 1e-300)[unit] * n[unit]
+            sums = np.maximum(a[e.last][:, 0], 1e-300)
+            log += float((n * (np.log(sums) - np.fromiter(map(len, units), np.float64, len(units)) * np.log(SCALE))).sum())
+            use = (a[e.start] * w * z[e.end])[:, 0] / sums[unit] * n[unit]
             whole = e.piece >= 0
-            np.add.at(total, (lang[unit][whole], e.piece[whole]), use[whole])
-            for k in np.flatnonzero(~whole):
-                for byte in chr(-1 - int(e.piece[k])).encode("utf-8", "surrogatepass"):
-                    total[lang[unit[k]], v.byte_ids[byte]] += use[k]
+            total += np.bincount(lang[unit][whole] * np.int64(total.shape[1]) + e.piece[whole], use[whole], total.size).reshape(total.shape)
+            lone = np.flatnonzero(~whole)
+            if len(lone):
+                byte, there = utf8(-1 - e.piece[lone])
+                k, place = np.nonzero(there)
+                np.add.at(total, (lang[unit[lone]][k], v.byte_ids[byte[k, place]]), use[lone][k])
         li, pi = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"l": pa.array(li, pa.int32()), "p": pa.array(pi, pa.int32()), "x": pa.array(total[li, pi], pa.float64())})
+        # The log likelihood travels as piece -1.
+        yield pa.RecordBatch.from_pydict({"l": pa.array(np.append(li, 0), pa.int32()), "p": pa.array(np.append(pi, -1), pa.int32()), "x": pa.array(np.append(total[li, pi], log), pa.float64())})
 
     return run
 
 
-def fit(docs: DataFrame, vocab_path: str, iterations: int = 1) -> dict:
-    """Learn the distributions from (lang, text) rows.
+def fit(docs: DataFrame, vocab_path: str, iterations: int = ROUNDS) -> dict:
+    """Learn the distributions from (lang, text) rows, in at most so many rounds.
 
     What reaches the driver is bounded by languages x vocabulary (32,000).
     """
@@ -137,11 +146,17 @@ def fit(docs: DataFrame, vocab_path: str, iterations: int = 1) -> dict:
     langs = sorted(tokens)
     v = vocabulary(vocab_path)
     table = np.full((len(v.pieces), len(langs)), 1.0 / len(v.pieces))
+    before = -np.inf
     for _ in range(iterations if langs else 0):
         got = counts.mapInArrow(_expect(vocab_path, langs, table), "l int, p int, x double").groupBy("l", "p").agg(F.sum("x").alias("x")).toArrow()
+        piece, lang, x = (got[c].to_numpy() for c in ("p", "l", "x"))
         use = np.full(table.shape, SMOOTH)
-        use[got["p"].to_numpy(), got["l"].to_numpy()] += got["x"].to_numpy()
+        use[piece[piece >= 0], lang[piece >= 0]] += x[piece >= 0]
         table = use / use.sum(axis=0)
+        now = float(x[piece < 0].sum())
+        if now - before < SETTLED * abs(now):
+            break
+        before = now
     total = sum(tokens.values()) or 1
     return {"langs": langs, "table": table, "prior": np.log(np.array([max(tokens[x], 1) / total for x in langs])) if langs else np.zeros(0), "path": vocab_path}
 
@@ -198,7 +213,7 @@ def predictor(model: dict):
     return F.arrow_udf(predict, "struct<lang_pred:string,score:double>")
 
 
-def identify(docs: DataFrame, vocab_path: str | None = None, folds: int = 5, iterations: int = 1) -> DataFrame:
+def identify(docs: DataFrame, vocab_path: str | None = None, folds: int = 5, iterations: int = ROUNDS) -> DataFrame:
     """Predict every row's language, learning only from rows outside fold 0."""
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", (common.fold("doc_id", folds) == 0).alias("held_out"))
     model = fit(base.where(~F.col("held_out")), vocab_path or default_path(), iterations)
