@@ -43,7 +43,7 @@ def _stage(function):
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, in a language that the model is sure of."""
-    model = op5_language.fit(docs.where(common.fold("doc_id", 5) != 0), op5_language.default_path(), 1)
+    model = op5_language.fit(docs.where(common.fold("doc_id", 5) != 0), op5_language.default_path())
     found = docs.withColumn(_TMP, op5_language.predictor(model)(F.col("text").cast("string")))
     return found.where((F.col(f"{_TMP}.lang_pred") != "und") & (F.col(f"{_TMP}.score") >= LANGUAGE_SCORE)).drop(_TMP)
 
