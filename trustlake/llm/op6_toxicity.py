@@ -211,7 +211,7 @@ def learn_stems(rows: DataFrame) -> list[str]:
     """Stems that stand in toxic texts of ``rows`` (text, y) and hardly in others.
 
     Starts are counted on executors. Only starts come back that are pure and
-    frequent enough for chance not to find one among all of their length; of those
+    frequent enough for chance not to find one among all of their length that stand in ``SEEN`` toxic texts; of those
     that begin alike the shortest counts, grown as long as (nearly) all go on alike.
     """
     n = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all")
@@ -220,7 +220,7 @@ def learn_stems(rows: DataFrame) -> list[str]:
     if not total or not total["bad"]:
         return []
     share = min(max(total["bad"] / total["all"], 0.01), 0.9)
-    sizes = starts.where("start <> '' and bad > 0").groupBy(F.char_length("start").alias("length")).agg(F.count("*").alias("kinds"))
+    sizes = starts.where((F.col("start") != "") & (F.col("bad") >= SEEN)).groupBy(F.char_length("start").alias("length")).agg(F.count("*").alias("kinds"))
     enough = F.greatest(F.lit(SEEN), F.ceil(F.log(100.0 * F.col("kinds")) / -math.log(share)))
     # A start in the SEEN-th part of a bounded sample's toxic texts at least: their number is bounded as the sample is, by its distinct words.
     pure = starts.withColumn("length", F.char_length("start")).join(F.broadcast(sizes), "length").where((F.col("bad") >= enough) & (F.col("bad") >= PURE * F.col("all"))).select("start", "bad")
