@@ -90,7 +90,8 @@ class Anchors:
             at = np.flatnonzero(_slide(padded, SPAN, np.maximum) == v)
             # A place past the last string of its document has no string of its own.
             at = at[(v[at] != _NONE) & (at >= lo - a) & (at < hi - a)]
-        rank = v[at]
+        # Anchors are the least of their neighbours: mixed once more, their ranks spread evenly over the buckets.
+        rank = tokens.mix(v[at])
         doc = np.searchsorted(t.offsets, at + a, side="right") - 1
         before, after = np.minimum(SPAN - 1, at + a - t.offsets[doc]), np.minimum(LENGTH, t.offsets[doc + 1] - at - a)
         full = tokens.span_hash(prefix, at - before, at + after) * np.uint64(0xC2B2AE3D27D4EB4F) + (before * 64 + after).astype(np.uint64)
