@@ -138,6 +138,31 @@ def _plain_marks(clause):
     return out
 
 
+def test_quality_scores_follow_from_the_model(spark, monkeypatch):
+    """The query's scores, recomputed passage by passage from the fitted weights; the fit stays within its bound of passages."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(("!!" if i % 2 else "") + rng.choice(["ab", "cd", "Efg", "h1", "é#"]) for _ in range(rng.choice([3, 64, 65, 300])))) for i in range(90)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(90)], "doc_id long, quality int")
+    m = op1_quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in op1_quality.classify(docs, labels).collect()}
+    for i, text in rows:
+        words = (text or "").encode().split()
+        parts = [words[k : k + op1_quality.PASSAGE] for k in range(0, len(words), op1_quality.PASSAGE)] or [[]]
+        x = []
+        for part in parts:
+            t = tokens.Texts(np.frombuffer(b" ".join(part), np.uint8), np.array([0, len(b" ".join(part))]), 0)
+            x.append(op1_quality.encode(t)[0][0])
+        h = [np.tanh((v - m.mean) * m.scale @ m.p["W"] + m.p["b"]) for v in x]
+        a = np.array([(np.tanh(v @ m.p["V"]) / (1 + np.exp(-(v @ m.p["U"])))) @ m.p["a"] for v in h])
+        a = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+        z = sum(w * v for w, v in zip(a, h)) @ m.p["o"] + m.p["c"][0] + m.shift
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), abs_tol=1e-5)
+    monkeypatch.setattr(op1_quality, "PASSAGES", 10)
+    few = op1_quality.fit(docs, labels)
+    assert few is not None and not np.allclose(few.mean, m.mean)
+
+
 def test_grammar():
     g = op6_toxicity
     rng = random.Random(5)

@@ -6,8 +6,11 @@ attention, tanh(V h) * sigmoid(U h), gives each passage a weight; the weighted
 mean of the embeddings is scored by a logistic unit. All weights are learned
 together from document labels.
 
-The fit uses at most ``labelled.PER_CLASS`` rows of each class; scoring reads
-every passage of every text. A document's last passage may be shorter.
+The fit uses at most ``labelled.PER_CLASS`` rows of each class and, in the order of
+a hash, only as many of them as have ``PASSAGES`` passages together, so what reaches
+the driver is bounded in bytes however long texts are; every row that is used is
+used whole. Scoring reads every passage of every text. A document's last passage
+may be shorter.
 
 Cases. Null and empty texts are one passage without words. Rows with null or
 other labels teach nothing; with one class or none every score is 0.5.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, labelled, tokens
@@ -29,6 +32,8 @@ from . import common, labelled, tokens
 PASSAGE = 64
 THRESHOLD = 0.3
 BUCKETS = 64
+#: Documented bound: passages of each class that the fit uses.
+PASSAGES = 40_000
 HIDDEN = 24
 ATTENTION = 12
 
@@ -59,7 +64,8 @@ def encode(t: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
     def shares(value: np.ndarray, width: int) -> np.ndarray:
         return np.bincount(p * width + value, minlength=total * width).reshape(total, width).astype(np.float32)
 
-    size = np.maximum(np.bincount(p, minlength=total), 1)[:, None].astype(np.float32)
+    count = np.bincount(p, minlength=total)[:, None].astype(np.float32)
+    size = np.maximum(count, 1)
     second = t.data[np.minimum(w.start + 1, w.end - 1)] if len(w.start) else np.zeros(0, np.uint8)
     parts = [
         shares((w.hash & np.uint64(BUCKETS - 1)).astype(np.int64), BUCKETS),
@@ -73,7 +79,7 @@ def encode(t: tokens.Texts) -> tuple[np.ndarray, np.ndarray]:
     key = (w.hash >> np.uint64(24)) * np.uint64(1_000_003) + p.astype(np.uint64)
     distinct = np.bincount(p[np.unique(key, return_index=True)[1]], minlength=total)[:, None] if len(p) else np.zeros((total, 1))
     same = np.bincount(p[1:], (w.hash[1:] == w.hash[:-1]) & (p[1:] == p[:-1]), minlength=total)[:, None] if len(p) else np.zeros((total, 1))
-    return np.concatenate([out, distinct / size, same / size, np.log1p(size - (n.sum() == 0)) / 5], axis=1).astype(np.float32), begin
+    return np.concatenate([out, distinct / size, same / size, np.log1p(count) / 5], axis=1).astype(np.float32), begin
 
 
 def _softmax_bags(a: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
@@ -122,14 +128,19 @@ def _encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = b.column("y").to_pylist()
         for t in tokens.chunks(b.column("text")):
             x, begin = encode(t)
-            yield pa.RecordBatch.from_pydict({"x": pa.array([x[begin[i] : begin[i + 1]].tobytes() for i in range(len(t))], pa.binary()), "y": pa.array(y[t.row : t.row + len(t)], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"x": pa.array([x[begin[i] : begin[i + 1]].tobytes() for i in range(len(t))], pa.binary()), "k": pa.array(np.diff(begin), pa.int64()), "y": pa.array(y[t.row : t.row + len(t)], pa.int32())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, steps: int = 400, batch: int = 256, per_class: int = labelled.PER_CLASS) -> Model | None:
     rows, sizes = labelled.sample(docs, labels, "quality", folds, per_class)
     if len(sizes) < 2:
         return None
-    got = rows.mapInArrow(_encode_rows, "x binary, y int").toArrow()
+    encoded = common.stash(rows.mapInArrow(_encode_rows, "x binary, k long, y int"), "op1_rows", "none")
+    # At most 2 x per_class rows of one number each are put in order; a class's first row is always in.
+    sums = F.sum("k").over(Window.partitionBy("y").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+    within = encoded.select("k", "y", F.xxhash64("x", "y").alias("order")).withColumn("before", F.coalesce(sums, F.lit(0)))
+    last = within.where((F.col("before") + F.col("k") <= PASSAGES) | (F.col("before") == 0)).groupBy("y").agg(F.max("order").alias("last"))
+    got = encoded.join(F.broadcast(last), "y").where(F.xxhash64("x", "y") <= F.col("last")).select("x", "y").toArrow()
     bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in got["x"].to_pylist()]
     y = got["y"].to_numpy().astype(float)
     order = sorted(range(len(bags)), key=lambda i: (y[i], bags[i].tobytes()[:512], len(bags[i])))  # whatever order the rows came in
