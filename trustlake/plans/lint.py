@@ -19,7 +19,7 @@ RULES = {
     "TL008": "an RDD is used where a frame would do",
 }
 _SINKS = {"saveAsTable", "insertInto", "save", "parquet", "csv", "json", "orc", "text"}
-_ALLOWED = ("sources/", "operators/graph", "llm/")
+_ALLOWED = ("sources/", "operators/graph")
 
 
 @dataclass(frozen=True)
