@@ -6,10 +6,13 @@ alert can be tested and replayed.
 
 from __future__ import annotations
 
+import json
 import re
+import urllib.request
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,6 +147,79 @@ def plan_upsert(wanted: list[Alert], held: dict[str, dict[str, Any]]) -> dict[st
     return {"create": sorted(set(want) - set(held)), "update": sorted(n for n in set(want) & set(held) if want[n] != held[n]), "same": sorted(n for n in set(want) & set(held) if want[n] == held[n]), "unmanaged": sorted(set(held) - set(want))}
 
 
+class AlertClient(Protocol):
+    """Where alerts are kept. ``HttpAlerts`` is one over JSON; tests use another."""
+
+    def held(self) -> dict[str, dict[str, Any]]: ...
+
+    def put(self, name: str, payload: dict[str, Any], new: bool) -> None: ...
+
+
+@dataclass(frozen=True)
+class HttpAlerts:
+    """Alerts behind a JSON interface: GET lists them, POST creates one, PUT <name> replaces it."""
+
+    url: str
+    headers: dict[str, str] = field(default_factory=dict)
+    timeout_s: float = 30
+
+    def _call(self, method: str, url: str, body: Any = None) -> Any:
+        request = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers}, method=method)
+        with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
+            raw = answer.read()
+        return json.loads(raw) if raw else None
+
+    def held(self) -> dict[str, dict[str, Any]]:
+        return {a["name"]: a for a in self._call("GET", self.url) or []}
+
+    def put(self, name: str, payload: dict[str, Any], new: bool) -> None:
+        self._call("POST" if new else "PUT", self.url if new else f"{self.url}/{name}", payload)
+
+
+def apply(client: AlertClient, alerts: list[Alert], *, dry_run: bool = True) -> dict[str, list[str]]:
+    """Bring the kept alerts to what is wanted, by name, and say what was (or would be) done. Nothing is deleted."""
+    plan = plan_upsert(alerts, client.held())
+    wanted = {a.name: a.payload() for a in alerts}
+    for kind in ("create", "update") if not dry_run else ():
+        for name in plan[kind]:
+            client.put(name, wanted[name], kind == "create")
+    return plan
+
+
+@dataclass(frozen=True)
+class TelemetrySettings:
+    """Where spans and logs go; off unless an endpoint is named."""
+
+    endpoint: str | None = None
+    service: str = "trustlake"
+    headers: tuple[tuple[str, str], ...] = ()
+    sample: float = 1.0
+
+    @property
+    def enabled(self) -> bool:
+        return bool(self.endpoint)
+
+    @staticmethod
+    def from_env(env: Mapping[str, str]) -> TelemetrySettings:
+        """TRUSTLAKE_TELEMETRY_ENDPOINT, _SERVICE, _HEADERS (a=b,c=d) and _SAMPLE (0 to 1)."""
+        get = lambda name, default="": env.get(f"TRUSTLAKE_TELEMETRY_{name}", default).strip()
+        pairs = [p.partition("=") for p in get("HEADERS").split(",") if p.strip()]
+        if any(not sep for _, sep, _ in pairs):
+            raise ValueError("headers are name=value, with commas between")
+        sample = float(get("SAMPLE", "1"))
+        if not 0 <= sample <= 1:
+            raise ValueError(f"a share of spans is between 0 and 1, not {sample}")
+        endpoint = get("ENDPOINT")
+        if endpoint and not endpoint.startswith(("http://", "https://")):
+            raise ValueError(f"{endpoint!r} is no http address")
+        return TelemetrySettings(endpoint or None, get("SERVICE", "trustlake"), tuple((k.strip(), v.strip()) for k, _, v in pairs), sample)
+
+    def sampled(self, spans: DataFrame, key: str = "trace_id") -> DataFrame:
+        """The share of traces that is kept, whole traces at a time; nothing where telemetry is off."""
+        share = self.sample if self.enabled else 0.0
+        return spans.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
 def scrub_spans(spans: DataFrame) -> DataFrame:
     """Identifiers out of messages and traces, and the error signature on each span."""
     from ..functions.scrub import error_signature, scrub, scrub_stacktrace
