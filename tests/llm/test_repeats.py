@@ -60,6 +60,17 @@ def test_long_texts_and_shuffled_texts(spark, tmp_path, monkeypatch):
     assert removed(table(spark, str(tmp_path / "t"), rows), hot=2) == brute(rows)
 
 
+def test_no_character_is_cut_in_two(spark, tmp_path):
+    """Removal is by bytes; the text that is left drops characters that lost one."""
+    shared = "é" * 40  # 80 bytes
+    rows = [(1, "a" + shared + "ê"), (2, "ab" + shared + "ë"), (3, "x" + "\u00e9" * 24 + "è")]
+    docs = table(spark, str(tmp_path / "t"), rows)
+    plain = {r["doc_id"]: bytes(r["kept"]).decode("utf-8", "ignore") for r in op7_suffix.dedup(docs).collect()}
+    whole = {r["doc_id"]: r["kept"] for r in op7_suffix.dedup(docs, characters=True).collect()}
+    assert whole[1] == rows[0][1] and all(set(whole[i]) <= set(rows[i - 1][1]) for i in whole)
+    assert whole == plain | {i: whole[i] for i in whole if "\u00c3" in plain[i]}
+
+
 def test_anchors_do_not_depend_on_segments(monkeypatch):
     rng = random.Random(1)
     text = bytes(rng.choice(b"abc \n") for _ in range(5000)) + b"q" * 200

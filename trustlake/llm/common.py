@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import re
+import resource
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -96,13 +97,23 @@ def tidy(spark: SparkSession) -> None:
 
 
 _TASK: list = [None]
+#: Resident memory of a worker from which what it has freed goes back in the middle of a task too.
+LARGE = 260_000_000
+
+
+def _resident() -> int:
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:  # no such file here
+        return 0
 
 
 def trim() -> None:
-    """Called by functions that run in Python workers. A worker serves one task after the other: with the first call of a new one, what earlier tasks freed goes back to the system."""
+    """Called by functions that run in Python workers. A worker serves one task after the other: with the first call of a new one, or when it has grown large, what was freed goes back to the system."""
     task = TaskContext.get()
     now = task and task.taskAttemptId()
-    if now is None or now != _TASK[0]:
+    if now is None or now != _TASK[0] or _resident() > LARGE:
         _TASK[0] = now
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):  # not glibc

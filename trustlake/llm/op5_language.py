@@ -30,7 +30,7 @@ from .lattice import MAX_UNIT, SPACE, Vocabulary, backward, forward, utf8
 SCALE = 300.0
 SMOOTH = 0.1
 #: EM ends when a round gains less than this share of the log likelihood, or after so many rounds.
-SETTLED, ROUNDS = 0.002, 8
+SETTLED, ROUNDS = 0.01, 6
 _VOCAB: dict[str, Vocabulary] = {}
 
 

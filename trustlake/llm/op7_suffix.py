@@ -333,7 +333,15 @@ def covered(left: Left, bits: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray
     return gone
 
 
-def _apply(buckets: int, buckets2: int, names: list[str]):
+def whole_characters(t: tokens.Texts, gone: np.ndarray) -> np.ndarray:
+    """Bytes to remove so that no UTF-8 character is cut in two."""
+    begin = (t.data & 0xC0) != 0x80
+    begin[t.offsets[:-1][np.diff(t.offsets) > 0]] = True
+    character = np.cumsum(begin) - 1
+    return (np.bincount(character, gone, int(begin.sum())) > 0)[character] if len(gone) else gone
+
+
+def _apply(buckets: int, buckets2: int, names: list[str], characters: bool):
     def run(key: tuple, texts: pa.Table, info: pa.Table) -> pa.Table:
         common.trim()
         t, order, rows = _block(texts)
@@ -350,18 +358,20 @@ def _apply(buckets: int, buckets2: int, names: list[str]):
         first = np.searchsorted(begin, t.offsets)
         base = np.repeat(t.offsets[:-1], np.diff(first))
         spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], ["start", "end"]))
+        gone = whole_characters(t, gone) if characters else gone
         kept = np.concatenate([[0], np.cumsum(~gone)])[t.offsets]
-        text = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(t.data[~gone].tobytes())])
+        text = pa.Array.from_buffers(pa.string() if characters else pa.binary(), len(t), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(t.data[~gone].tobytes())])
         return pa.table({**{k: rows[k] for k in names}, "n_bytes": pa.array(np.diff(t.offsets)), "kept": text, "spans": spans})
 
     return run
 
 
-def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool = True, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool = True, hot: int = HOT, characters: bool = False) -> DataFrame:
     """Columns ``carry`` of each row, its n_bytes, spans (removed byte ranges) and kept (remaining bytes).
 
     ``scanned``: ``docs`` reads files, so its rows come in the same order each
-    time. Otherwise they are written first.
+    time. Otherwise they are written first. ``characters``: kept is text, without the
+    characters of which a byte was removed; spans tell of bytes as ever.
     """
     if not scanned:
         docs = common.stash(docs, "op7_docs")
@@ -375,7 +385,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool =
     copies = common.stash(copies.select("sha", "least"), "op7_copies")
     few = copies.count() <= BROADCAST_ROWS
     marked = base.join(F.broadcast(copies) if few else copies, "sha", "left").withColumn("copy", F.coalesce((F.col("order") > F.col("least")) & (F.length("text") >= LENGTH), F.lit(False)))
-    whole = marked.where("copy").select(*names, F.length("text").cast("long").alias("n_bytes"), F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))).alias("spans"))
+    whole = marked.where("copy").select(*names, F.length("text").cast("long").alias("n_bytes"), (F.lit("") if characters else F.lit(b"")).alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))).alias("spans"))
     rest = marked.where("not copy").select(*names, "order", "text", "row", "block")
     size = base.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
     buckets = max(4, math.ceil(size * 2 / (SPAN + 1) * 6 / BUCKET))
@@ -391,7 +401,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), scanned: bool =
     two = common.stash(around.groupBy("bucket").applyInArrow(_answer_two, info), "op7_two")
     both = one.unionByName(two).groupBy("block")
     kinds = ", ".join(f"{n} {rest.schema[n].dataType.simpleString()}" for n in names)
-    done = rest.groupBy("block").cogroup(both).applyInArrow(_apply(buckets, buckets2, names), f"{kinds}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    done = rest.groupBy("block").cogroup(both).applyInArrow(_apply(buckets, buckets2, names, characters), f"{kinds}, n_bytes long, kept {'string' if characters else 'binary'}, spans array<struct<start:long,end:long>>")
     return done.unionByName(whole).select(*[F.col(f"{t}c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "kept", "spans")
 
 
