@@ -3,15 +3,23 @@
 Language ID and the quality classifier drop what they reject, the n-gram join
 keeps one document of each group, the suffix stage removes repeated passages, and
 packing cuts what is left into training sequences. Every stage but the last
-returns the columns of ``documents``.
+returns the columns of ``documents``, further columns of the table's own among them,
+whatever their names.
+
+Cases, of every stage. An empty table gives no rows. Null and empty texts go with
+the language stage; should they reach a later one, the classifier scores them like
+any text, they link with nothing, lose nothing, and are packed as their end alone.
+Rows count, not ids: rows that share a doc_id, or have none, are documents of their
+own. Repeated rows are linked, so one of them stays. Ties go to the smallest doc_id,
+then to the earliest row. A row without labels teaches the classifier nothing; with
+labels of one class or none it scores 0.5, which keeps every document.
 """
 
 from __future__ import annotations
 
 import functools
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.llm import common, op1_quality, op2_packing, op4_jaccard, op5_language, op7_suffix
@@ -42,7 +50,7 @@ def _stage(function):
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in a language that the model is sure of."""
+    """Documents with letters, in a language that the model is sure of. Without a row that teaches (text and lang) every text is rejected."""
     model = op5_language.fit(docs.where(common.fold("doc_id", 5) != 0), op5_language.default_path())
     found = docs.withColumn(_TMP, op5_language.predictor(model)(F.col("text").cast("string")))
     return found.where((F.col(f"{_TMP}.lang_pred") != "und") & (F.col(f"{_TMP}.score") >= LANGUAGE_SCORE)).drop(_TMP)
@@ -69,22 +77,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that a smaller document has. Characters cut in two go with them; emptied texts stay as rows."""
     names = [f"{_TMP}{i}" for i in range(len(docs.columns))]
     aside = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]
-    got = op7_suffix.dedup(docs.select("doc_id", "text", *aside), tuple(names))
-    text = F.when(F.size("spans") == 0, F.col(names[docs.columns.index("text")])).otherwise(_decoded("kept"))
+    got = op7_suffix.dedup(docs.select("doc_id", "text", *aside), tuple(names), characters=True)
+    text = F.when(F.size("spans") == 0, F.col(names[docs.columns.index("text")])).otherwise(F.col("kept"))
     out = {c: F.col(n) for c, n in zip(docs.columns, names)} | {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.char_length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)
     return got.select(*[e.alias(c) for c, e in out.items()])
 
 
-def _decoded(column: str) -> Column:
-    @F.arrow_udf("string")
-    def decode(raw: pa.Array) -> pa.Array:
-        return pa.array([x.decode("utf-8", "ignore") for x in raw.to_pylist()], pa.string())
-
-    return decode(F.col(column))
-
-
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
