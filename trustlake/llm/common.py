@@ -57,6 +57,17 @@ def fold(key: str, k: int) -> Column:
 NOTED: list[list[str]] = []
 
 
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """Folders that stash() writes meanwhile, for ``release`` once what is needed of them has been written elsewhere."""
+    folders: list[str] = []
+    NOTED.append(folders)
+    try:
+        yield folders
+    finally:
+        NOTED[:] = [x for x in NOTED if x is not folders]
+
+
 def release(docs: DataFrame, folders: list[str]) -> None:
     """Delete noted folders that ``docs`` does not read: what was made from them has been written."""
     spark = docs.sparkSession

@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, steps: int = 400, ba
     within = encoded.select("k", "y", F.xxhash64("x", "y").alias("order")).withColumn("before", F.coalesce(sums, F.lit(0)))
     last = within.where((F.col("before") + F.col("k") <= PASSAGES) | (F.col("before") == 0)).groupBy("y").agg(F.max("order").alias("last"))
     got = encoded.join(F.broadcast(last), "y").where(F.xxhash64("x", "y") <= F.col("last")).select("x", "y").toArrow()
+    common.drop(encoded)
     bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in got["x"].to_pylist()]
     y = got["y"].to_numpy().astype(float)
     order = sorted(range(len(bags)), key=lambda i: (y[i], bags[i].tobytes()[:512], len(bags[i])))  # whatever order the rows came in

@@ -434,10 +434,13 @@ class Join:
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows = Join(docs, words, percent).run()
-    # Written first: Spark can split a large component's rows only where both sides of the join come straight from a shuffle.
-    ids = common.stash(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "op4_ids")
-    return rows.join(ids, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with common.noted() as folders:
+        rows = Join(docs, words, percent).run()
+        # Written first: Spark can split a large component's rows only where both sides of the join come straight from a shuffle.
+        ids = common.stash(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "op4_ids")
+    out = rows.join(ids, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    common.release(out, folders)
+    return out
 
 
 def repeated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -449,7 +452,9 @@ def repeated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that ``repeated`` names: one row of each component, whatever ids rows have, and every row without words."""
-    gone = common.stash(repeated(docs, words, percent), "op4_repeated")
+    with common.noted() as folders:
+        gone = common.stash(repeated(docs, words, percent), "op4_repeated")
+    common.release(gone, folders)
     few = gone.count() <= BROADCAST_ROWS
     row = common.TMP + "row"
     gone = gone.select(F.col("row").alias(row))

@@ -157,6 +157,7 @@ def fit(docs: DataFrame, vocab_path: str, iterations: int = ROUNDS) -> dict:
         if now - before < SETTLED * abs(now):
             break
         before = now
+    common.drop(counts)
     total = sum(tokens.values()) or 1
     return {"langs": langs, "table": table, "prior": np.log(np.array([max(tokens[x], 1) / total for x in langs])) if langs else np.zeros(0), "path": vocab_path}
 

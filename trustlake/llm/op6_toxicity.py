@@ -225,6 +225,7 @@ def learn_stems(rows: DataFrame) -> list[str]:
     # A start in the SEEN-th part of a bounded sample's toxic texts at least: their number is bounded as the sample is, by its distinct words.
     pure = starts.withColumn("length", F.char_length("start")).join(F.broadcast(sizes), "length").where((F.col("bad") >= enough) & (F.col("bad") >= PURE * F.col("all"))).select("start", "bad")
     known = {r["start"]: r["bad"] for r in pure.collect()}
+    common.drop(starts)
     return sorted({_grown(s, known) for s in known if s[:-1] not in known})
 
 
@@ -273,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = lab
     rows = common.stash(rows.where("text is not null").distinct(), "op6_rows")
     stems = learn_stems(rows)
     got = rows.mapInArrow(_features(stems), "x binary, y int").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").toArrow()
+    common.drop(rows)
     x = np.log1p(np.array([np.frombuffer(r, "<f4") for r in got["x"].to_pylist()], np.float64).reshape(-1, len(KINDS)))
     y, many = got["y"].to_numpy().astype(float), got["n"].to_numpy().astype(float)
     n = np.array([max(1, many[y == 0].sum()), max(1, many[y == 1].sum())])
