@@ -168,18 +168,35 @@ def _show(words: int, percent: int, buckets: int):
     return run
 
 
-def _shared(key: tuple, group: pa.Table) -> pa.Table:
-    """One bucket: how many of the tokens that a node shows there another node shows too."""
+def _shared(parts: int):
+    """One bucket: how many of the tokens that a node shows there another node shows too, packed by part of the node."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.trim()
+        t, n = _wide(group["tokens"].to_pylist()), _wide(group["nodes"].to_pylist())
+        by = np.lexsort((n, t))
+        t, n = t[by], n[by]
+        new = _new(t, n)
+        t, n = t[new], n[new]
+        head = np.flatnonzero(_new(t))
+        size = np.diff(np.append(head, len(t)))
+        u, c = np.unique(n[np.repeat(size > 1, size)], return_counts=True)
+        part = (u % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        u, c = u[by], c[by]
+        rows = [(k, _narrow(u[at]), c[at].astype("<u4").tobytes()) for k, at in _runs(part[by])]
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        return pa.table({name: pa.array([r[i] for r in rows], kinds[i]) for i, name in enumerate(("part", "nodes", "counts"))})
+
+    return run
+
+
+def _met(key: tuple, group: pa.Table) -> pa.Table:
+    """The nodes of a part, with the tokens of all buckets together that others show too."""
     common.trim()
-    t, n = _wide(group["tokens"].to_pylist()), _wide(group["nodes"].to_pylist())
-    by = np.lexsort((n, t))
-    t, n = t[by], n[by]
-    new = _new(t, n)
-    t, n = t[new], n[new]
-    head = np.flatnonzero(_new(t))
-    size = np.diff(np.append(head, len(t)))
-    u, c = np.unique(n[np.repeat(size > 1, size)], return_counts=True)
-    return pa.table({"short": pa.array(u.astype(np.int64)), "c": pa.array(c, pa.int64())})
+    n, c = _wide(group["nodes"].to_pylist()), _numbers(group["counts"], "<u4")
+    u, back = np.unique(n, return_inverse=True)
+    return pa.table({"short": pa.array(u.astype(np.int64)), "c": pa.array(np.bincount(back, c, len(u)).astype(np.int64))})
 
 
 def _sets(words: int):
@@ -357,7 +374,8 @@ class Join:
         """(id, node, n, tokens) of the nodes that may link by what they show in hash order."""
         total = self.rows.agg(F.sum("n").alias("n")).first()["n"] or 0
         sent = self.texts.select("text").mapInArrow(_show(self.words, self.percent, _bins(total * 4)), "bucket int, tokens binary, nodes binary")
-        met = sent.groupBy("bucket").applyInArrow(_shared, "short long, c long").groupBy("short").agg(F.sum("c").alias("c"))
+        met = sent.groupBy("bucket").applyInArrow(_shared(_bins(total)), "part int, nodes binary, counts binary")
+        met = met.groupBy("part").applyInArrow(_met, "short long, c long")
         able = self.nodes.join(met, "short").where(F.col("c") >= _depth(_least_partner(F.col("n"), self.percent))).select("row", "node")
         able = common.stash(able, "op4_able")
         few = able.count() <= BROADCAST_ROWS
