@@ -11,6 +11,7 @@ import ctypes
 import gc
 import re
 import resource
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -102,9 +103,14 @@ def drop(df: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner find what finished steps no longer need: it deletes shuffle files once the driver has collected their garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner find what finished steps no longer need: it deletes shuffle files once the driver has collected their garbage.
+
+    What Python lets go of in one round the JVM can collect in the next, and what held it in the one after.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 _TASK: list = [None]
