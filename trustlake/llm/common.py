@@ -114,14 +114,15 @@ def tidy(spark: SparkSession) -> None:
 
 
 _TASK: list = [None]
-#: Resident memory of a worker from which what it has freed goes back in the middle of a task too.
-LARGE = 260_000_000
+#: Resident memory of a worker's own from which what it has freed goes back in the middle of a task too.
+LARGE = 180_000_000
 
 
 def _resident() -> int:
     try:
         with open("/proc/self/statm") as f:
-            return int(f.read().split()[1]) * resource.getpagesize()
+            _, resident, shared = f.read().split()[:3]
+            return (int(resident) - int(shared)) * resource.getpagesize()
     except OSError:  # no such file here
         return 0
 
