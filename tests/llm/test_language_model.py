@@ -212,3 +212,46 @@ def test_contexts_are_words_however_rare(spark):
     rows = list(zip(ids, texts)) + [(held[0], "aaqq aaone"), (held[1], "aaqq aatwo")]
     got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got[held[0]] > got[held[1]] + 0.5
+
+
+def rare_contexts(spark):
+    """Contexts with many words after each, some of them often, beside a few frequent words."""
+    rng = random.Random(6)
+    rows = [" ".join(x for _ in range(40) for x in (f"often{rng.randrange(4)}", f"c{rng.randrange(40)}", f"w{min(rng.randrange(60), rng.randrange(60))}")) for _ in range(150)]
+    return spark.createDataFrame(list(enumerate(rows)), "row long, text string").repartition(3)
+
+
+def cells_of(m):
+    return {r["bucket"]: {k: lm.unpack(r[k], kind) for k, kind in lm.CELL_KINDS.items()} for r in m.cells.collect()}
+
+
+def test_cells_of_rare_contexts_meet_their_whole_restaurant(spark, monkeypatch):
+    """What a sweep is told of contexts that are not known to all, against the cells of all buckets."""
+    for name, value in {"KNOWN": 6, "HEAVY": 2, "SPLIT": 3, "BUCKET": 9000, "PART": 3}.items():
+        monkeypatch.setattr(lm, name, value)
+    m = lm.fit(rare_contexts(spark))
+    assert m.buckets > 5 and m.parts > 1
+    cells, tables, customers = cells_of(m), {}, {}
+    for c in cells.values():
+        for x, n, t in zip(c["contexts"].tolist(), c["n"].tolist(), c["t"].tolist()):
+            tables[x], customers[x] = tables.get(x, 0) + t, customers.get(x, 0) + n
+    said, seen = lm._exchange(m, False), 0
+    for bucket, c in cells.items():
+        got = lm._heard(c, [r.asDict() for r in said.where(f"what = 0 AND bucket = {bucket}").collect()], m.parts)
+        at = np.flatnonzero((c["contexts"] >= lm.FAR) & (c["n"] > 1))
+        assert got.tolist() == [tables[x] - t for x, t in zip(c["contexts"][at].tolist(), c["t"][at].tolist())]
+        seen += len(got)
+    assert seen > 500
+    for counted, sizes in ((m.far_n, customers), (m.far_t, tables)):
+        u, n = np.unique([v for x, v in sizes.items() if x >= int(lm.FAR)], return_counts=True)
+        assert dict(zip(*(x.tolist() for x in lm.tally(*counted)))) == dict(zip(u.tolist(), n.tolist()))
+
+
+def test_tables_do_not_depend_on_which_contexts_are_known(spark, monkeypatch):
+    """Cells of rare contexts get as many tables as when every context is known to all."""
+    docs, got = rare_contexts(spark), []
+    for known in (1 << 18, 6):
+        monkeypatch.setattr(lm, "KNOWN", known)
+        m = lm.fit(docs, 4, 6)
+        got.append((sum(float(c["sum_t"][c["n"] > 1].sum()) for c in cells_of(m).values()) / 6, np.mean([s.d for s in m.samples])))
+    assert abs(got[0][0] - got[1][0]) < 0.05 * got[0][0] and abs(got[0][1] - got[1][1]) < 0.11

@@ -18,8 +18,12 @@ burn-in, predictive probabilities are averaged over samples.
 
 What the driver gathers is bounded: totals of the ``KNOWN`` most frequent contexts,
 and the ``HEAVY`` most frequent words, whose cells are dealt to ``SPLIT`` buckets.
-Totals of all other contexts stay in a table and are joined to the tokens that
-need them; in a sweep, a cell of such a context sees no other tables there.
+Totals of all other (*far*) contexts stay in Spark. A cell with one customer has one
+table, so once the first exchange has told every bucket how many such cells a far
+context has, only contexts with several larger cells change beyond a bucket's sight:
+between two sweeps buckets send their tables of those to parts dealt by context and
+get the sums back. Parts also count far restaurants by customers and by tables, for
+discounts and strengths. For scoring, totals are joined to the tokens that need them.
 
 Tokens travel packed: a task sends, for each bucket, its words in order, each with
 the contexts and documents it stands in, compressed. Back come sums for documents.
@@ -347,15 +351,33 @@ def opened(r: dict, known_spells: np.ndarray) -> dict[str, np.ndarray]:
 
 # -- cells
 #: Cells of a bucket: words with their customers' cells; t: tables of a cell, now and summed over samples; served: the words' tables; p: the words' probability in each sample.
-CELLS = "bucket int, words binary, sizes binary, spells binary, contexts binary, n binary, t binary, sum_t binary, served binary, p binary"
 CELL_KINDS = {"words": "<u8", "sizes": "<u4", "spells": "<f4", "contexts": "<u8", "n": "<u4", "t": "<u4", "sum_t": "<u4", "served": "<u4", "p": "<f8"}
+#: For each cell of several customers in a far context: how many cells of one customer the context has, and whether it has more cells of several ("shared").
+CELL_KINDS |= {"single": "<u4", "shared": "u1"}
+#: What the bucket tells of far contexts, by part: their tables in cells of several customers and, the first time, customers, cells of one customer and of several. Later only of shared ones (``ask_single``: in all buckets); all tables of the others are in ``shut``.
+ASK_KINDS = {"ask": "<u8", "ask_t": "<u4", "ask_single": "<u4", "ask_n": "<u4", "ask_more": "<u4", "shut": "<u4"}
+CELLS = ", ".join(["bucket int", *[f"{k} binary" for k in CELL_KINDS | ASK_KINDS]])
+#: What scoring reads of them.
+SCORED = ("words", "sizes", "contexts", "n", "sum_t", "p")
+#: Buckets whose far contexts make a part.
+PART = 8
 
 
 def _row(bucket: int, c: dict[str, np.ndarray]) -> dict[str, pa.Array]:
-    return {"bucket": pa.array([bucket], pa.int32())} | {k: pa.array([pack(c[k].astype(kind))], pa.binary()) for k, kind in CELL_KINDS.items()}
+    none = np.zeros(0)
+    return {"bucket": pa.array([bucket], pa.int32())} | {k: pa.array([pack(c.get(k, none).astype(kind))], pa.binary()) for k, kind in (CELL_KINDS | ASK_KINDS).items()}
 
 
-def _gather(known_spells: np.ndarray):
+def _by_part(contexts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts in order of their parts, and the place of each one that was given."""
+    u, back = np.unique(contexts, return_inverse=True)
+    by = np.argsort(_bucket(u, parts), kind="stable")
+    place = np.empty(len(u), np.int64)
+    place[by] = np.arange(len(u))
+    return u[by], place[back]
+
+
+def _gather(known_spells: np.ndarray, parts: int):
     """Cells with their customers; to begin with one table each."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -371,7 +393,12 @@ def _gather(known_spells: np.ndarray):
         first = _heads(word)
         sizes = np.diff(np.append(first, len(word)))
         one = np.ones(len(n), np.uint32)
-        return pa.table(_row(key[0].as_py(), {"words": word[first], "sizes": sizes, "spells": spell[first], "contexts": context, "n": n, "t": one, "sum_t": 0 * one, "served": np.ones(len(first)), "p": np.zeros(0)}))
+        far = context >= FAR
+        ask, at = _by_part(context[far], parts)
+        count = lambda x: np.bincount(at, x, len(ask))
+        more = count(n[far] > 1)
+        told = {"ask": ask, "ask_t": more, "ask_single": count(n[far] == 1), "ask_n": count(n[far]), "ask_more": more}
+        return pa.table(_row(key[0].as_py(), told | {"words": word[first], "sizes": sizes, "spells": spell[first], "contexts": context, "n": n, "t": one, "sum_t": 0 * one, "served": np.ones(len(first))}))
 
     return run
 
@@ -401,40 +428,159 @@ class State:
         return (self.theta + self.d * self.t) / (self.theta + self.n)
 
 
-def _sweep(s: State, number: int, sample: bool):
-    """A Gibbs step of every cell, then of every word that is not heavy."""
-    s = replace(s, n=np.zeros(0), t=s.t.astype(np.float32))
+#: Between sweeps: what a bucket tells a part, and what parts say: to buckets (what 0), or how many far restaurants have so many customers (1) or tables (2: none but cells of one customer, 3: others). ``single`` has the numbers, ``t`` how many there are.
+TOLD = "part int, bucket int, ask binary, t binary, single binary, n binary, more binary"
+SAID = "what int, bucket int, part int, t binary, single binary, shared binary"
 
+
+def _tell(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.trim()
         for b in batches:
+            rows: list[tuple] = []
             for r in b.to_pylist():
-                c = {k: unpack(r[k], kind) for k, kind in CELL_KINDS.items()}
-                rng = np.random.default_rng([number, r["bucket"]])
-                sizes = c["sizes"].astype(np.int64)
-                first = np.cumsum(sizes) - sizes
-                of = np.repeat(np.arange(len(sizes)), sizes)
-                customers = np.add.reduceat(c["t"].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-                p = s.word_p(c["words"], customers, c["served"], c["spells"])
-                many = np.flatnonzero(c["n"] > 1)
-                near = c["contexts"][many] < FAR
-                others = np.zeros(len(many))
-                others[near] = np.maximum(s.t[c["contexts"][many][near].astype(np.int64)] - c["t"][many][near], 0)
-                q = p[of[many]]
-                t = c["t"].copy()
-                t[many] = draw(c["n"][many], (s.theta + s.d * others) * q, s.d * q, s.d, rng)
-                c["t"] = t
-                customers = np.add.reduceat(t.astype(np.int64), first) if len(first) else customers
-                base = np.exp(c["spells"].astype(np.float64))
-                c["served"] = draw(customers, (s.theta0 + s.d0 * np.maximum(s.tables - c["served"], 0)) * base, s.d0 * base, s.d0, rng)
-                if sample:
-                    c["sum_t"] = c["sum_t"] + t
-                    c["p"] = np.concatenate([c["p"], s.word_p(c["words"], customers, c["served"], c["spells"])])
-                yield pa.RecordBatch.from_pydict(_row(r["bucket"], c))
+                v = {k: unpack(r[k], kind) for k, kind in ASK_KINDS.items()}
+                part = _bucket(v["ask"], parts)
+                cuts = _heads(part).tolist() if len(part) else []
+                for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
+                    rows.append((int(part[lo]), r["bucket"], *[pack(v[k][lo:hi]) for k in ("ask", "ask_t", "ask_single", "ask_n", "ask_more")]))
+                if len(v["shut"]):
+                    size, n = np.unique(v["shut"], return_counts=True)
+                    rows.append((-1 - r["bucket"] % SLICES, -1, b"", pack(n), pack(size.astype("<i8")), b"", b""))
+            if rows:
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["part", "bucket", "ask", "t", "single", "n", "more"])
+
+    return run
+
+
+def tally(size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sizes, and how many there are of each."""
+    u, back = np.unique(size, return_inverse=True)
+    return u.astype(np.int64), np.bincount(back, n, len(u)).astype(np.int64)
+
+
+def _say(first: bool):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.trim()
+        part, told, rows = key[0].as_py(), group.to_pylist(), []
+        counted = lambda what, size, n: rows.append((what, -1, part, pack(n), pack(size), b"")) if len(size) else None
+        if part < 0:
+            counted(3, *tally(*(np.concatenate([unpack(r[k], "<i8") for r in told]) for k in ("single", "t"))))
+        else:
+            v = [{k: unpack(r[k], ASK_KINDS[f]) for k, f in (("ask", "ask"), ("t", "ask_t"), ("single", "ask_single"), ("n", "ask_n"), ("more", "ask_more"))} for r in told]
+            u, at = np.unique(np.concatenate([x["ask"] for x in v]), return_inverse=True)
+            total = lambda k: np.bincount(at, np.concatenate([x[k] for x in v]), len(u)).astype(np.int64)
+            t, single = total("t"), np.zeros(len(u), np.int64)
+            more = total("more") if first else np.full(len(u), 2)
+            if first:
+                single = total("single")
+                counted(1, *tally(total("n"), np.ones(len(u))))
+            else:
+                single[at] = np.concatenate([x["single"] for x in v])
+            for what, these in ((2, more == 0), (3, more > 0)):
+                counted(what, *tally((single + t)[these], np.ones(these.sum())))
+            lo = 0
+            for r, x in zip(told, v):
+                mine = at[lo : lo + len(x["ask"])]
+                lo += len(x["ask"])
+                if first:
+                    mine = mine[x["more"] > 0]
+                if len(mine):
+                    rows.append((0, r["bucket"], part, pack(t[mine].astype("<u4")), pack(single[mine].astype("<u4")) if first else b"", pack((more[mine] > 1).astype("u1")) if first else b""))
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 3
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["what", "bucket", "part", "t", "single", "shared"])
+
+    return run
+
+
+def _exchange(m: Model, first: bool) -> DataFrame:
+    """Far contexts' totals, for the buckets and, counted, for the driver."""
+    told = m.cells.select("bucket", *ASK_KINDS).mapInArrow(_tell(m.parts), TOLD)
+    said = common.stash(told.groupBy("part").applyInArrow(_say(first), SAID), "op3_far", "none")
+    got = said.where("what > 0").select("what", "single", "t").toArrow().to_pylist()
+    none = [np.zeros(0, np.int64)]
+    counts = {what: tally(*(np.concatenate(none + [unpack(r[k], "<i8") for r in got if r["what"] == what]) for k in ("single", "t"))) for what in (1, 2, 3)}
+    if first:
+        m.far_n, m.far_still = counts[1], counts[2]
+    m.far_t = tuple(np.concatenate(x) for x in zip(m.far_still, counts[3]))
+    return said
+
+
+def _heard(c: dict[str, np.ndarray], said: list[dict], parts: int) -> np.ndarray:
+    """The other tables in the restaurant, for each cell of several customers in a far context. What is said first is kept with the cells."""
+    at = np.flatnonzero((c["contexts"] >= FAR) & (c["n"] > 1))
+    said = sorted(said, key=lambda r: r["part"])
+    t, single, shared = (np.concatenate([np.zeros(0, kind), *[unpack(r[k], kind) for r in said]]) for k, kind in (("t", "<u4"), ("single", "<u4"), ("shared", "u1")))
+    if len(c["single"]) < len(at):
+        _, place = _by_part(c["contexts"][at], parts)
+        c["single"], c["shared"] = single[place], shared[place]
+        t = t[np.unique(place[c["shared"] > 0])]
+    out = c["single"].astype(np.float64)
+    some = np.flatnonzero(c["shared"])
+    if len(some):
+        _, place = _by_part(c["contexts"][at[some]], parts)
+        out[some] += t[place].astype(np.float64) - c["t"][at[some]]
+    return out
+
+
+def _step(s: State, number: int, sample: bool, parts: int):
+    """A Gibbs step of a bucket: every cell, then every word that is not heavy."""
+
+    def run(r: dict, said: list[dict]) -> dict[str, pa.Array]:
+        c = {k: unpack(r[k], kind) for k, kind in CELL_KINDS.items()}
+        rng = np.random.default_rng([number, r["bucket"]])
+        sizes = c["sizes"].astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        customers = np.add.reduceat(c["t"].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        p = s.word_p(c["words"], customers, c["served"], c["spells"])
+        many = np.flatnonzero(c["n"] > 1)
+        near = c["contexts"][many] < FAR
+        others = np.zeros(len(many))
+        others[near] = np.maximum(s.t[c["contexts"][many][near].astype(np.int64)] - c["t"][many][near], 0)
+        others[~near] = _heard(c, said, parts)
+        q = p[of[many]]
+        t = c["t"].copy()
+        t[many] = draw(c["n"][many], (s.theta + s.d * others) * q, s.d * q, s.d, rng)
+        c["t"] = t
+        customers = np.add.reduceat(t.astype(np.int64), first) if len(first) else customers
+        base = np.exp(c["spells"].astype(np.float64))
+        c["served"] = draw(customers, (s.theta0 + s.d0 * np.maximum(s.tables - c["served"], 0)) * base, s.d0 * base, s.d0, rng)
+        if sample:
+            c["sum_t"] = c["sum_t"] + t
+            c["p"] = np.concatenate([c["p"], s.word_p(c["words"], customers, c["served"], c["spells"])])
+        far, shared = many[~near], c["shared"] > 0
+        c["shut"] = c["single"][~shared] + t[far[~shared]]
+        c["ask"], at = _by_part(c["contexts"][far[shared]], parts)
+        c["ask_t"] = np.bincount(at, t[far[shared]], len(c["ask"]))
+        c["ask_single"] = np.zeros(len(c["ask"]), np.int64)
+        c["ask_single"][at] = c["single"][shared]
+        return _row(r["bucket"], c)
 
     return run
 
 
+def _sweep(m: Model, s: State, number: int, sample: bool, said: DataFrame | None) -> DataFrame:
+    """All buckets' steps. Cells travel only to meet what was said of far contexts."""
+    step = _step(replace(s, n=np.zeros(0), t=s.t.astype(np.float32)), number, sample, m.parts)
+    cells = m.cells.select("bucket", *CELL_KINDS)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_pydict(step(r, []))
+
+    def met(key: tuple, own: pa.Table, said: pa.Table) -> pa.Table:
+        common.trim()
+        return pa.table(step(own.to_pylist()[0], said.to_pylist()))
+
+    if said is None:
+        return cells.mapInArrow(alone, CELLS)
+    return cells.groupBy("bucket").cogroup(said.where("what = 0").groupBy("bucket")).applyInArrow(met, CELLS)
+
+
 def _totals(contexts: int, heavy: int):
     """Customers and tables of known contexts, slice by slice, and of heavy words; cells and other words by customers and tables."""
 
@@ -483,7 +629,12 @@ class Model:
     total: int
     types: int
     buckets: int
+    parts: int
     heavy_n: np.ndarray
+    #: Far restaurants counted: sizes and how many, by customers, by tables, and by tables where those never change.
+    far_n: tuple[np.ndarray, np.ndarray]
+    far_t: tuple[np.ndarray, np.ndarray]
+    far_still: tuple[np.ndarray, np.ndarray]
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1.0) / (self.total + self.types + 1.0))
@@ -505,21 +656,33 @@ def fit(train: DataFrame, burn: int = BURN, samples: int = SAMPLES, seed: int =
     m.known = Known(top["h"].to_numpy().view(np.uint64), HEAVY, np.append(m.spelling.end, top["spell"].to_numpy()))
     m.buckets = max(1, math.ceil(m.total * 5 / BUCKET))
     sent = train.select("row", "text").mapInArrow(_send(m.known, m.spelling, m.buckets, False), SENT)
-    m.cells = common.stash(sent.groupBy("bucket").applyInArrow(_gather(m.known.spells), CELLS), "op3_cells", "none")
+    m.parts = math.ceil(m.buckets / PART)
+    m.cells = common.stash(sent.groupBy("bucket").applyInArrow(_gather(m.known.spells, m.parts), CELLS), "op3_cells", "none")
     common.drop(words)
     del sent, got, top
     common.tidy(train.sparkSession)
     state, m.samples = State(heavy_p=np.full(m.known.heavy + 1, 1.0 / (m.known.heavy + 1))), []
     served = np.ones(m.known.heavy + 1, np.int64)
+    said, speak, any_far = None, False, True
     for number in range(burn + samples + 1):
         if number:
-            swept = common.stash(m.cells.mapInArrow(_sweep(state, number, number > burn), CELLS), "op3_cells", "none")
+            swept = common.stash(_sweep(m, state, number, number > burn, said if speak else None), "op3_cells", "none")
             common.drop(m.cells)
             m.cells = swept
             del swept
+        if said is not None:
+            common.drop(said)
+            said = None
+            common.tidy(train.sparkSession)
+        if any_far:
+            said = _exchange(m, not number)
+            speak = not said.where("what = 0").isEmpty()
+            any_far = speak or number > 0  # without a larger cell in a far context, nothing there ever changes
         state, served = _refreshed(m, state, served, rng)
         if number > burn:
             m.samples.append(state)
+    if said is not None:
+        common.drop(said)
     return m
 
 
@@ -551,7 +714,7 @@ def _refreshed(m: Model, old: State, served: np.ndarray, rng: np.random.Generato
     before = tables + int(np.minimum(served, mine).sum())
     served = draw(mine, (s.theta0 + s.d0 * np.maximum(before - served, 0)) * base, s.d0 * base, s.d0, rng)
     s.customers, s.tables = float(customers + mine.sum()), float(tables + served.sum())
-    s.d, s.theta = resample(s.n, s.t, cells, s.d, s.theta, rng)
+    s.d, s.theta = resample(s.n, s.t, cells, s.d, s.theta, rng, m.far_n, m.far_t)
     s.d0, s.theta0 = resample(np.array([s.customers]), np.array([s.tables]), words + histogram(mine, served), s.d0, s.theta0, rng)
     s.heavy_p = (np.maximum(mine - s.d0 * served, 0) + (s.theta0 + s.d0 * s.tables) * base) / (s.theta0 + s.customers)
     return s, served
@@ -574,7 +737,7 @@ def _score(m: Model):
     def run(key: tuple, sent: pa.Table, cells: pa.Table) -> pa.Table:
         common.trim()
         rows = cells.to_pylist()
-        c = {k: unpack(rows[0][k] if rows else b"", kind) for k, kind in CELL_KINDS.items()}
+        c = {k: unpack(rows[0][k] if rows else b"", CELL_KINDS[k]) for k in SCORED}
         sizes = c["sizes"].astype(np.int64)
         first = np.cumsum(sizes) - sizes
         counts = np.add.reduceat(c["n"].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
@@ -653,7 +816,7 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
     common.tidy(docs.sparkSession)
     rows = base.select("row", "doc_id")
     sent = base.select("row", "text").mapInArrow(_send(m.known, m.spelling, m.buckets, True), SENT)
-    found = sent.groupBy("bucket").cogroup(m.cells.groupBy("bucket")).applyInArrow(_score(m), FOUND)
+    found = sent.groupBy("bucket").cogroup(m.cells.select("bucket", *SCORED).groupBy("bucket")).applyInArrow(_score(m), FOUND)
     found = common.stash(found, "op3_found", "none")
     del sent
     common.tidy(docs.sparkSession)

@@ -94,18 +94,19 @@ D_GRID = np.round(np.arange(0.05, 0.96, 0.05), 2)
 THETA_GRID = np.array([0.1, 0.3, 1, 3, 10, 30, 100, 300, 1000, 3000, 10_000.0])
 
 
-def resample(customers: np.ndarray, tables: np.ndarray, cells: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> tuple[float, float]:
+def resample(customers: np.ndarray, tables: np.ndarray, cells: np.ndarray, d: float, theta: float, rng: np.random.Generator, more_customers: tuple = ((), ()), more_tables: tuple = ((), ())) -> tuple[float, float]:
     """Discount and strength, drawn together from their posterior on a grid (flat prior).
 
     Given are every restaurant's customers and tables, and the number of cells
     with n customers at t tables (n up to ``EXACT``; larger ones are left out).
+    More restaurants may be given as counts: sizes, and how many have each.
     ``d`` and ``theta`` are returned as they are where nobody sits.
     """
     live = tables > 0
     if not live.any():
         return d, theta
-    c, of_c = np.unique(customers[live], return_counts=True)
-    t, of_t = np.unique(tables[live], return_counts=True)
+    c, of_c = (np.append(x, y) for x, y in zip(np.unique(customers[live], return_counts=True), more_customers))
+    t, of_t = (np.append(x, y) for x, y in zip(np.unique(tables[live], return_counts=True), more_tables))
     n, k = np.nonzero(cells)
     one = lambda x: _log_gamma(np.array([x]))[0]
     log = np.empty((len(D_GRID), len(THETA_GRID)))
